@@ -70,7 +70,7 @@ def test_held_out_accuracy_and_rows(spark):
 def test_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [r.score for r in toxicity.judge(docs, none).collect()] == [0.0, 0.0]
+    assert all(r.score < 1e-9 for r in toxicity.judge(docs, none).collect())
     one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.judge(docs, one).collect()] == [0, 0]
     assert toxicity.judge(docs.limit(0), one).count() == 0
