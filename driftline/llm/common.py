@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that extra ones can't clash with an operator's own."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below the one that the cluster names in ``spark.checkpoint.dir``."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, mixing, pii, simhash, toxicity
+from driftline.llm import bpe, media, mixing, pii, simhash, toxicity
 from driftline.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, full=False)
 
 
+def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.payloads(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivotal_mixing": op1_pivotal_mixing,
     "op2_pii_spans": op2_pii_spans,
@@ -45,5 +49,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_media_chunks": op10_media_chunks,
 }
 SQL: dict[str, str] = {}
