@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, media, mixing, pii, simhash, toxicity
+from driftline.llm import bpe, media, mixing, packing, pii, simhash, toxicity
 from driftline.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -30,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_spans": op2_pii_spans,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_packed_ids": op5_packed_ids,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_media_chunks": op10_media_chunks,
