@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import bpe, media, mixing, packing, pii, simhash, toxicity, urls
+from driftline.llm import ann, bpe, media, mixing, packing, pii, simhash, toxicity, urls
 from driftline.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_packed_ids": op5_packed_ids,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
