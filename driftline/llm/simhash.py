@@ -9,6 +9,13 @@ survivors are verified bit by bit. Of what links within a key only a spanning tr
 gets many edges. A key with more than ``CHUNK`` classes is dealt into chunks, and each pair of chunks meets in a task
 of its own: every pair is still covered, and no task holds more than about 2 x CHUNK classes of a key.
 
+Several fingerprints of 64 bits, each with a seed and a shingle width of its own, can stand side by side: the first
+``keyed`` words key the classes, and the words from ``judged`` on decide, at up to ``bits`` differing bits in all. A key
+is exact up to 3 differing bits in one of the words; beyond that, candidates are those that agree on three blocks of any
+word. The pipeline keys by four words of three-word shingles, which are closer for near copies, and decides by 128 bits
+of five-word shingles: 19 of them is a cosine of 0.89 between the shingle counts, as of two texts that share four
+fifths of their shingles.
+
 Null and empty texts have no words and fingerprint zero; they link like any other. Repeated rows share a class.
 """
 
@@ -36,31 +43,33 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 BATCH = 1 << 16
 
 
-def fingerprint_of(text: str, width: int) -> int:
-    """The 64-bit fingerprint, as a signed integer."""
-    words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - width + 1)
-    starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[min(width, len(words)) - 1 :].tolist()
-    tally = np.zeros(64, np.int64)
-    for i in range(0, n, BATCH):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + BATCH], stops[i : i + BATCH])], np.uint64)
-        tally += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * tally > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def fingerprint_of(text: str, widths: tuple[int, ...]) -> tuple[int, ...]:
+    """A 64-bit fingerprint, as a signed integer, of shingles of each width; seeds count up from ``SEED``."""
+    parts = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
+    if not parts:
+        return (0,) * len(widths)
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
+    out = []
+    for k, width in enumerate(widths):
+        n, tally = max(1, len(parts) - width + 1), np.zeros(64, np.int64)
+        starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[min(width, len(parts)) - 1 :].tolist()
+        for i in range(0, n, BATCH):
+            hashes = np.array([digest(joined[a:b], SEED + k) for a, b in zip(starts[i : i + BATCH], stops[i : i + BATCH])], np.uint64)
+            tally += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * tally > n).astype(np.uint8), bitorder="little").view(np.int64)[0]))
+    return tuple(out)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprint_of(x.as_py() or "", width) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        found = [fingerprint_of(x.as_py() or "", widths) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (signed) of each row, from shingles of ``width`` words."""
-    return only(docs, "doc_id", "text").mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, widths: tuple[int, ...] = (3,)) -> DataFrame:
+    """doc_id and fp (an array of signed words) of each row."""
+    return only(docs, "doc_id", "text").mapInArrow(partial(_fingerprints, widths=widths), "doc_id long, fp array<long>")
 
 
 def _keys() -> list[int]:
@@ -70,14 +79,20 @@ def _keys() -> list[int]:
     return [sum(x) - (1 << 64 if sum(x) >> 63 else 0) for x in itertools.combinations(blocks, 3)]
 
 
-def pivots() -> np.ndarray:
-    """The reference fingerprints: fixed pseudo-random words."""
-    return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(PIVOTS)], np.uint64)
+def pivots(words: int) -> np.ndarray:
+    """The reference fingerprints (pivot, word): fixed pseudo-random words."""
+    return np.array([[xxhash.xxh64_intdigest(bytes([i, k]), SEED) for k in range(words)] for i in range(PIVOTS)], np.uint64)
+
+
+def distances(fps: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (..., word)."""
+    return np.bitwise_count(fps ^ others).astype(np.int16).sum(axis=-1)
 
 
 def linked(fps: np.ndarray, bits: int) -> np.ndarray:
-    """For fingerprints of one key, the least index that each one reaches."""
-    n, table = len(fps), np.bitwise_count(fps[:, None] ^ pivots()).astype(np.int8)
+    """For fingerprints (row, word) of one key, the least index that each one reaches."""
+    n = len(fps)
+    table = distances(fps[:, None], pivots(fps.shape[1]))
     label, rest = np.full(n, -1), np.arange(n)
     while len(rest):
         root = rest[0]
@@ -85,7 +100,7 @@ def linked(fps: np.ndarray, bits: int) -> np.ndarray:
         while front and len(rest):
             i = front.pop()
             near = np.flatnonzero(np.abs(table[rest] - table[i]).max(axis=1) <= bits)
-            near = near[np.bitwise_count(fps[rest[near]] ^ fps[i]) <= bits]
+            near = near[distances(fps[rest[near]], fps[i]) <= bits]
             if len(near):
                 found = rest[near]
                 label[found] = root
@@ -96,16 +111,15 @@ def linked(fps: np.ndarray, bits: int) -> np.ndarray:
 
 def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Edges (src, dst) between class representatives; rows come sorted by bucket."""
-    own = pivots()
-    held = [np.empty(0, np.int64)] * 3
+    held: list[np.ndarray] = []
 
-    def edges(bucket, fp, rep):
-        fp, start = fp.view(np.uint64), np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    def edges(bucket, rep, fp):
+        start, own = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), pivots(fp.shape[1])
         length = np.diff(np.r_[start, len(bucket)])
         a = start[length == 2]
-        near = np.abs(np.bitwise_count(fp[a][:, None] ^ own).astype(np.int8) - np.bitwise_count(fp[a + 1][:, None] ^ own).astype(np.int8)).max(axis=1, initial=0) <= bits
+        near = np.abs(distances(fp[a][:, None], own) - distances(fp[a + 1][:, None], own)).max(axis=1, initial=0) <= bits
         a = a[near]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + 1]) <= bits]
+        a = a[distances(fp[a], fp[a + 1]) <= bits]
         src, dst = [rep[a]], [rep[a + 1]]
         for s, n in zip(start[length > 2].tolist(), length[length > 2].tolist()):
             label, reps = linked(fp[s : s + n], bits), rep[s : s + n]
@@ -118,34 +132,47 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], ["src", "dst"])
 
     for batch in batches:
-        columns = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns)]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
+        columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
         cut = np.searchsorted(columns[0], columns[0][-1])  # the last bucket may go on
         held = [c[cut:] for c in columns]
         if cut:
             yield edges(*(c[:cut] for c in columns))
-    if len(held[0]):
+    if held:
         yield edges(*held)
 
 
-def links(classes: DataFrame, bits: int = 3) -> DataFrame:
-    """Edges (src, dst) that join all classes (fp, rep) within ``bits`` differing bits, if not each such pair."""
-    if bits > 3:
-        raise ValueError("the keys are exact for up to 3 differing bits")
-    keyed = classes.select("fp", "rep", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_keys())))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    own = F.pmod(F.xxhash64("fp", "key"), F.col("chunks")).cast("int")
-    dealt = dealt.select("key", "fp", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "rep")
+def links(classes: DataFrame, bits: int = 3, keyed: int = 1, judged: int = 0) -> DataFrame:
+    """Edges (src, dst) that join all classes (fp, rep) that link, if not each such pair."""
+    masks = _keys()
+    keys = F.array(*(F.xxhash64(F.lit(w), F.lit(k), F.col("fp")[w].bitwiseAND(F.lit(m))) for w in range(keyed) for k, m in enumerate(masks)))
+    by_key = classes.select("rep", F.explode(keys).alias("key"))
+    shared = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = by_key.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    own = F.pmod(F.xxhash64("rep", "key"), F.col("chunks")).cast("int")
+    dealt = dealt.select("key", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "rep").join(classes, "rep").select("bucket", "rep", F.slice("fp", judged + 1, F.size("fp") - judged).alias("fp"))
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_links, bits=bits), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits) and component_id (the smallest doc_id reachable) of each row."""
-    fps = checkpoint(fingerprints(docs, width))
+def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3,), bits: int = 3, keyed: int = 1, judged: int = 0) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits a word) and component_id (the smallest doc_id reachable) of each row."""
+    fps = checkpoint(fingerprints(docs, widths))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(links(classes.where("rep IS NOT NULL"), bits))
+    found = connected_components(links(classes.where("rep IS NOT NULL"), bits, keyed, judged))
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = F.array_join(F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    return fps.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, widths: tuple[int, ...] = (3, 3, 3, 3, 5, 5), bits: int = 19, keyed: int = 4, judged: int = 4) -> DataFrame:
+    """The rows and columns of ``docs`` with one row, of the smallest doc_id, for each group of near-duplicates.
+
+    Rows without a doc_id aren't judged and stay.
+    """
+    groups = near_duplicates(docs.where("doc_id IS NOT NULL"), widths, bits, keyed, judged)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -55,12 +55,33 @@ def test_large_groups_are_dealt_into_chunks(spark, monkeypatch):
         fps.append(x)
     fps = list(dict.fromkeys(fps + [rng.getrandbits(64) for _ in range(50)]))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    classes = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long")
+    classes = spark.createDataFrame([([f], i) for i, f in enumerate(signed)], "fp array<long>, rep long")
     found = {r.node: r.component for r in simhash.connected_components(simhash.links(classes)).collect()}
     expected = brute_components(dict(enumerate(fps)))
     assert {i: found.get(i, i) for i in expected} == expected
 
 
+def test_deduplication_keeps_one_of_each_group(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(5))
+    rows = []
+    for g in range(12):
+        words = [word() for _ in range(400)]
+        rows.append((10 * g, " ".join(words)))
+        for k in range(1, 4):
+            near = words[:]
+            for _ in range(2 * k):
+                near[rng.randrange(400)] = word()
+            rows.append((10 * g + k, " ".join(near)))
+    rows += [(500 + i, " ".join(word() for _ in range(rng.randrange(1, 300)))) for i in range(60)] + [(0, rows[0][1]), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("kept"))
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert ids == sorted({i for i, _ in rows if i is not None and (i >= 500 or i % 10 == 0)})
+    assert kept.where("doc_id IS NULL").count() == 2
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
