@@ -6,9 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, folder) by its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+from driftline.plans import event_queries, star_queries, text_queries  # noqa: E402, F401
+
+
+def entry(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship: momentum states of the event stream."""
+    return QUERIES["hysteresis_states"](spark, folder)
