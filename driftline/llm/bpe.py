@@ -23,10 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from driftline.llm.common import only, texts
+from driftline.llm.common import alone, only, sliced, texts
 
 #: Entries that a worker keeps before it starts its memo anew.
-MEMO = 400_000
+MEMO = 250_000
 #: Pairs below one node of the segment tree.
 FAN = 16
 NONE = 1 << 96
@@ -279,7 +279,8 @@ def encoder(path: str) -> Encoder:
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     own = counter(path)
-    for batch in batches:
+    alone(own)
+    for batch in sliced(batches):
         rows = texts(batch)
         n = [own.count(x) for x in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in rows], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -292,7 +293,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
-    for batch in batches:
+    alone(own)
+    for batch in sliced(batches):
         columns: list[list] = [[], [], [], []]
         for text in texts(batch):
             found = own.encode(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_memos: list[dict] = []
+
+
+def alone(memo: dict | None = None) -> None:
+    """Empties the memos that other operators have left in this Python worker; each operator calls it as it starts."""
+    for other in _memos:
+        if other is not memo:
+            other.clear()
+    if memo is not None and not any(m is memo for m in _memos):
+        _memos.append(memo)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return ["" if x is None else x for x in batch.column(column).to_pylist()]

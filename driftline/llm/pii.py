@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftline.llm.common import only, texts
+from driftline.llm.common import alone, only, sliced, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, of its context around a trigger, and windows decoded at once.
@@ -432,7 +432,8 @@ def redacted(text: str, spans: dict[str, list[Span]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    alone()
+    for batch in sliced(batches):
         found = find(p, texts(batch))
         counts = [pa.array([len(base[kind]) for base, _ in found], pa.int64()) for kind in KINDS]
         digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -445,7 +446,8 @@ def scan(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    alone()
+    for batch in sliced(batches):
         rows = batch.column("text").to_pylist()
         found = find(p, ["" if x is None else x for x in rows])
         clean = [x if x is None else redacted(x, whole) for x, (_, whole) in zip(rows, found)]

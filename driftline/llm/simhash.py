@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import checkpoint, only
+from driftline.llm.common import alone, checkpoint, only, sliced
 from driftline.operators.components import connected_components
 
 SEED = 42
@@ -62,7 +62,8 @@ def fingerprint_of(text: str, widths: tuple[int, ...]) -> tuple[int, ...]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    alone()
+    for batch in sliced(batches):
         found = [fingerprint_of(x.as_py() or "", widths) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp"])
 
@@ -111,6 +112,7 @@ def linked(fps: np.ndarray, bits: int) -> np.ndarray:
 
 def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Edges (src, dst) between class representatives; rows come sorted by bucket."""
+    alone()
     held: list[np.ndarray] = []
 
     def edges(bucket, rep, fp):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import only, texts
+from driftline.llm.common import alone, only, sliced, texts
 
 #: Labelled rows of each class that are learnt from, at most.
 SAMPLE = 3000
@@ -35,7 +35,7 @@ FAIR, RIDGE = 1.0, 2e-3
 STEPS, RATE = 200, 0.1
 THRESHOLD = 0.3
 #: Entries of a worker's memo before it starts anew.
-MEMO = 400_000
+MEMO = 200_000
 #: Words that name groups of people.
 GROUPS = """women men woman man girls boys gay lesbian straight transgender bisexual black white asian african latino
 european american muslim christian jewish hindu buddhist atheist immigrant immigrants refugee refugees disabled deaf
@@ -70,7 +70,8 @@ def swapped(text: str) -> str:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """toxic, and the features of the text and of its counterfactual (null if it names no group)."""
     pack = lambda x: np.fromiter(sorted(x), np.int32).tobytes()
-    for batch in batches:
+    alone()
+    for batch in sliced(batches):
         own, other = [], []
         for text in texts(batch):
             own.append(pack(features(text)))
@@ -177,7 +178,8 @@ def memo(bias: float, weights: tuple[tuple[int, float], ...]) -> Memo:
 
 def _score(batches: Iterator[pa.RecordBatch], bias: float, weights: tuple[tuple[int, float], ...]) -> Iterator[pa.RecordBatch]:
     own = memo(bias, weights)
-    for batch in batches:
+    alone(own)
+    for batch in sliced(batches):
         scores = []
         for text in texts(batch):
             found: set[int] = set()
