@@ -7,6 +7,8 @@ FADE = 0.40
 PROMOTE_DAYS, DEMOTE_DAYS, FADE_DAYS = 2, 7, 14
 ACTIVE_DAYS, FADE_INACTIVE_DAYS = 14, 30
 BREADTH_MIN = 2
+#: The highest tier (1: simmering) that a provisional cohort's members are told to be in.
+PROVISIONAL_CAP = 1
 LAG_DAYS, BREADTH_WINDOW, PROMOTION_WINDOW = 7, 30, 30
 GATE_BASE = {"breakout": 1.0, "accelerating": 0.7}
 GATE_FLOORS = (0.5, 0.4, 0.4)

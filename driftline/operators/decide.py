@@ -9,7 +9,7 @@ from driftline import config
 
 
 def age_bucket(days: Column) -> Column:
-    return F.when(days <= 30, "0-30").when(days <= 90, "31-90").when(days <= 180, "91-180").when(days <= 365, "181-365").otherwise("365+")
+    return F.when(days <= 30, "0-30d").when(days <= 90, "31-90d").when(days <= 365, "91-365d").otherwise("365d+")
 
 
 def momentum(state: Column, p: Column) -> Column:

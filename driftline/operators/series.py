@@ -85,11 +85,14 @@ def cohort_percent_rank(series: DataFrame, by: list[str], members: str, value: s
     return series.withColumn("pctl", F.when(F.col(members) > 1, below / (F.col(members) - 1)).otherwise(0.0))
 
 
-def raw_tier(p: Column, breadth: Column, provisional: Column | None = None, active: Column | None = None) -> Column:
-    """0 dormant, 1 simmering, 2 accelerating, 3 breakout; accelerating needs breadth, breakout a cohort that isn't provisional."""
-    wide = breadth >= config.BREADTH_MIN
-    tier = F.when((p >= config.BREAKOUT) & wide & (~provisional if provisional is not None else F.lit(True)), 3).when((p >= config.ACCELERATING) & wide, 2).when(p >= config.SIMMERING, 1).otherwise(0)
-    return tier if active is None else F.when(active, tier).otherwise(0)
+def raw_tier(count_60: Column, count_80: Column, count_95: Column, breadth: Column, promotions: Column, active: Column) -> Column:
+    """0 dormant, 1 simmering, 2 accelerating, 3 breakout: the highest tier whose entry condition holds today.
+
+    The counts are of metrics at each percentile; promotions are those of the last 30 days.
+    """
+    warm = count_60 >= 1
+    out = F.when((promotions >= 2) | ((count_95 >= 1) & (breadth >= config.BREADTH_MIN)), 3).when((count_80 >= 2) | ((promotions >= 1) & warm), 2).when(warm, 1)
+    return F.when(active, out.otherwise(0)).otherwise(0)
 
 
 def hysteresis(days: DataFrame, key: str, tier: str = "raw_tier", promote: int = config.PROMOTE_DAYS, demote: int = config.DEMOTE_DAYS, top: int = 3) -> DataFrame:
@@ -108,15 +111,19 @@ def hysteresis(days: DataFrame, key: str, tier: str = "raw_tier", promote: int =
     return out.withColumn("smoothed_tier", sum(level[1:], level[0])).drop("_low", "_high")
 
 
-def states(days: DataFrame, key: str, p: str = "p", last_event: str = "last_event", fade: float = config.FADE, fade_days: int = config.FADE_DAYS, inactive: int = config.FADE_INACTIVE_DAYS) -> DataFrame:
-    """Adds state from smoothed_tier: a key that once peaked and is now at 0, cold or silent for long, is fading."""
+def states(days: DataFrame, key: str, p: str = "p", last_event: str = "last_event", provisional: str = "provisional", fade: float = config.FADE, fade_days: int = config.FADE_DAYS, inactive: int = config.FADE_INACTIVE_DAYS) -> DataFrame:
+    """Adds state from smoothed_tier: a key that once peaked and is now at 0, cold or silent for long, is fading.
+
+    In a provisional cohort no state above ``config.PROVISIONAL_CAP`` is told, though the tier goes on.
+    """
     order = Window.partitionBy(key).orderBy("day")
     cold = order.rowsBetween(1 - fade_days, 0)
     peaked = F.max((F.col("smoothed_tier") >= 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1
     quiet = (F.count("*").over(cold) >= fade_days) & (F.max(p).over(cold) < fade)
     silent = F.coalesce(F.datediff("day", last_event) >= inactive, F.lit(True))
-    names = F.when(F.col("smoothed_tier") == 3, "breakout").when(F.col("smoothed_tier") == 2, "accelerating").when(F.col("smoothed_tier") == 1, "simmering")
-    return days.withColumn("state", names.when(peaked & (quiet | silent), "fading").otherwise("dormant"))
+    told = F.when(F.col(provisional), F.least("smoothed_tier", F.lit(config.PROVISIONAL_CAP))).otherwise(F.col("smoothed_tier"))
+    names = F.element_at(F.array(*map(F.lit, ("dormant", "simmering", "accelerating", "breakout"))), told.cast("int") + 1)
+    return days.withColumn("state", F.when((F.col("smoothed_tier") == 0) & peaked & (quiet | silent), "fading").otherwise(names))
 
 
 def within_days(days: DataFrame, key: str, flag: str, window: int) -> Column:
@@ -133,7 +140,7 @@ def threshold_crossing(events: DataFrame, key: str, kind: str, at: str, days: in
     """
     e = events.select(key, kind, F.col(at).alias("t")).distinct()
     anchor = e.select(key, F.col("t").alias("a")).distinct()
-    pairs = e.join(anchor, key).where((F.col("t") >= F.col("a")) & (F.col("t") < F.col("a") + F.make_dt_interval(F.lit(days))))
+    pairs = e.join(anchor, key).where((F.col("t") >= F.col("a")) & (F.col("t") <= F.col("a") + F.make_dt_interval(F.lit(days))))
     first = pairs.groupBy(key, "a", kind).agg(F.min("t").alias("t"))
     nth = first.withColumn("r", F.row_number().over(Window.partitionBy(key, "a").orderBy("t", kind))).where(F.col("r") == count)
     return nth.groupBy(key).agg(F.min("t").alias("crossed_at"))

@@ -10,6 +10,8 @@ from driftline.operators import asof, decide, series
 from driftline.plans.registry import query, table
 
 AS_OF, END = "2024-01-28 00:00:00", "2024-01-28"
+#: A signup of this value is a promotion.
+PROMOTED = 95
 
 
 def events(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
@@ -109,10 +111,6 @@ def cohort_sizes_fallback(spark, folder):
     return members(spark, folder).select("user_id", "cohort", "cohort_n", "provisional")
 
 
-RANKED = """j AS (SELECT v.user_id, v.day, v.value, c.cohort, c.cohort_n, c.provisional FROM v JOIN c USING (user_id)),
-r AS (SELECT *, CASE WHEN cohort_n > 1 THEN (rank() OVER (PARTITION BY cohort, day ORDER BY value) - 1 + CASE WHEN value > 0 THEN cohort_n - count(*) OVER (PARTITION BY cohort, day) ELSE 0 END) / (cohort_n - 1) ELSE 0 END AS p FROM j)"""
-
-
 def ranked(spark, folder) -> DataFrame:
     velocity = series.change_since(filled(spark, folder), ["user_id"])
     rows = velocity.join(members(spark, folder).select("user_id", "cohort", "cohort_n", "provisional"), "user_id")
@@ -128,40 +126,53 @@ def cohort_percent_rank(spark, folder):
     return ranked(spark, folder).select("user_id", "day", F.round("pctl", 6).alias("pctl"))
 
 
-GRID = f"""b AS (SELECT user_id, wday AS day, count(DISTINCT event_type) AS breadth FROM ({TRAIL.format(n=29)}) GROUP BY ALL),
+GRID = f"""d5 AS (SELECT user_id, event_type, day, arg_max(value, (ts, event_id)) AS value FROM e GROUP BY ALL),
+n5 AS (SELECT *, lead(day) OVER (PARTITION BY user_id, event_type ORDER BY day) AS nxt FROM d5),
+f5 AS (SELECT user_id, event_type, CAST(g.x AS DATE) AS day, value FROM n5, generate_series(CAST(n5.day AS TIMESTAMP), CAST(least(n5.day + 3, coalesce(n5.nxt - 1, n5.day + 3), DATE '{END}') AS TIMESTAMP), INTERVAL 1 DAY) g(x)),
+v5 AS (SELECT a.user_id, a.event_type, a.day, a.value - coalesce(b.value, 0) AS value FROM f5 a ASOF LEFT JOIN (SELECT user_id, event_type, day + 7 AS day, value FROM f5) b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.day >= b.day),
+j5 AS (SELECT v5.*, c.cohort, c.cohort_n FROM v5 JOIN c USING (user_id)),
+r5 AS (SELECT *, CASE WHEN cohort_n > 1 THEN (rank() OVER (PARTITION BY event_type, cohort, day ORDER BY value) - 1 + CASE WHEN value > 0 THEN cohort_n - count(*) OVER (PARTITION BY event_type, cohort, day) ELSE 0 END) / (cohort_n - 1) ELSE 0 END AS p FROM j5),
+sig AS (SELECT user_id, day, max(p) AS p, count(*) FILTER (WHERE p >= 0.6) AS c60, count(*) FILTER (WHERE p >= 0.8) AS c80, count(*) FILTER (WHERE p >= 0.95) AS c95 FROM r5 GROUP BY ALL),
+b AS (SELECT user_id, wday AS day, count(DISTINCT event_type) AS breadth FROM ({TRAIL.format(n=29)}) GROUP BY ALL),
 grid AS (SELECT m.user_id, CAST(g.x AS DATE) AS day FROM m, generate_series(CAST(m.first_seen AS TIMESTAMP), TIMESTAMP '{AS_OF}', INTERVAL 1 DAY) g(x)),
-la AS (SELECT DISTINCT user_id, day AS eday FROM e),
-s AS (SELECT grid.user_id, grid.day, coalesce(r.p, 0) AS p, coalesce(b.breadth, 0) AS breadth, c.provisional, max(la.eday) OVER (PARTITION BY grid.user_id ORDER BY grid.day) AS last_event
- FROM grid JOIN c USING (user_id) LEFT JOIN r ON r.user_id = grid.user_id AND r.day = grid.day LEFT JOIN b ON b.user_id = grid.user_id AND b.day = grid.day LEFT JOIN la ON la.user_id = grid.user_id AND la.eday = grid.day),
-t AS (SELECT *, CASE WHEN last_event IS NULL OR day - last_event >= 14 THEN 0 WHEN p >= 0.95 AND breadth >= 2 AND NOT provisional THEN 3 WHEN p >= 0.8 AND breadth >= 2 THEN 2 WHEN p >= 0.6 THEN 1 ELSE 0 END AS raw_tier FROM s)"""
-UP_TO_TIERS = f"{E}, {DAILY}, {FILLED}, {LAGGED}, {COHORTS}, {RANKED}, {GRID}"
+la AS (SELECT user_id, day AS eday, max(CASE WHEN event_type = 'signup' AND value >= {PROMOTED} THEN 1 ELSE 0 END) AS promoted FROM e GROUP BY ALL),
+s AS (SELECT grid.user_id, grid.day, coalesce(sig.p, 0) AS p, coalesce(c60, 0) AS c60, coalesce(c80, 0) AS c80, coalesce(c95, 0) AS c95, coalesce(b.breadth, 0) AS breadth, c.provisional, max(la.eday) OVER (PARTITION BY grid.user_id ORDER BY grid.day) AS last_event,
+ sum(coalesce(la.promoted, 0)) OVER (PARTITION BY grid.user_id ORDER BY grid.day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS promos
+ FROM grid JOIN c USING (user_id) LEFT JOIN sig ON sig.user_id = grid.user_id AND sig.day = grid.day LEFT JOIN b ON b.user_id = grid.user_id AND b.day = grid.day LEFT JOIN la ON la.user_id = grid.user_id AND la.eday = grid.day),
+t AS (SELECT *, CASE WHEN last_event IS NULL OR day - last_event >= 14 THEN 0 WHEN promos >= 2 OR (c95 >= 1 AND breadth >= 2) THEN 3 WHEN c80 >= 2 OR (promos >= 1 AND c60 >= 1) THEN 2 WHEN c60 >= 1 THEN 1 ELSE 0 END AS raw_tier FROM s)"""
+UP_TO_TIERS = f"{E}, {COHORTS}, {GRID}"
 
 
 def tiers(spark, folder) -> DataFrame:
-    """A row for each user and day since its first event: p, breadth, last event and raw tier."""
+    """A row for each user and day since its first event: signals over all kinds of event as metrics, and the raw tier."""
     seen = events(spark, folder)
-    people = members(spark, folder).select("user_id", "first_seen", "provisional")
-    grid = people.withColumn("day", F.explode(F.sequence("first_seen", F.lit(END).cast("date")))).drop("first_seen")
-    p = ranked(spark, folder).select("user_id", "day", F.col("pctl").alias("p"))
+    people = members(spark, folder).select("user_id", "first_seen", "cohort", "cohort_n", "provisional")
+    keys = ["user_id", "event_type"]
+    velocity = series.change_since(series.forward_fill(series.daily_last(seen, keys, "ts", "event_id", "value"), keys, 3, END), keys)
+    ranks = series.cohort_percent_rank(velocity.join(people, "user_id"), ["event_type", "cohort", "day"], "cohort_n")
+    counts = [F.count_if(F.col("pctl") >= t).alias(n) for n, t in (("count_60", config.SIMMERING), ("count_80", config.ACCELERATING), ("count_95", config.BREAKOUT))]
+    signals = ranks.groupBy("user_id", "day").agg(F.max("pctl").alias("p"), *counts)
+    grid = people.withColumn("day", F.explode(F.sequence("first_seen", F.lit(END).cast("date")))).select("user_id", "day", "provisional")
     breadth = series.trailing_distinct(seen, ["user_id"], "ts", "event_type", config.BREADTH_WINDOW, END).withColumnRenamed("value", "breadth")
-    active = seen.select("user_id", F.to_date("ts").alias("day")).distinct().withColumn("event_day", F.col("day"))
-    out = grid.join(p, ["user_id", "day"], "left").join(breadth, ["user_id", "day"], "left").join(active, ["user_id", "day"], "left")
-    out = out.withColumn("p", F.coalesce("p", F.lit(0.0))).withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+    rung = (F.col("event_type") == "signup") & (F.col("value") >= PROMOTED)
+    active = seen.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max(rung.cast("int")).alias("promoted")).withColumn("event_day", F.col("day"))
+    out = grid.join(signals, ["user_id", "day"], "left").join(breadth, ["user_id", "day"], "left").join(active, ["user_id", "day"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("p", "count_60", "count_80", "count_95", "breadth", "promoted")})
     out = out.withColumn("last_event", F.max("event_day").over(Window.partitionBy("user_id").orderBy("day"))).drop("event_day")
-    live = F.coalesce(F.datediff("day", "last_event") < config.ACTIVE_DAYS, F.lit(False))
-    return out.withColumn("raw_tier", series.raw_tier(F.col("p"), F.col("breadth"), F.col("provisional"), live))
+    out = out.withColumn("promo_30d", series.within_days(out, "user_id", "promoted", config.PROMOTION_WINDOW)).withColumn("active", F.coalesce(F.datediff("day", "last_event") < config.ACTIVE_DAYS, F.lit(False)))
+    return out.withColumn("raw_tier", series.raw_tier(*(F.col(c) for c in ("count_60", "count_80", "count_95", "breadth", "promo_30d", "active"))))
 
 
-@query(f"WITH {UP_TO_TIERS} SELECT user_id, day, round(p, 6) AS p, breadth, raw_tier FROM t")
+@query(f"WITH {UP_TO_TIERS} SELECT user_id, day, round(p, 6) AS p, c60 AS count_60, c80 AS count_80, c95 AS count_95, breadth, CAST(promos AS BIGINT) AS promo_30d, raw_tier FROM t")
 def composite_tiers(spark, folder):
-    return tiers(spark, folder).select("user_id", "day", F.round("p", 6).alias("p"), "breadth", "raw_tier")
+    return tiers(spark, folder).select("user_id", "day", F.round("p", 6).alias("p"), "count_60", "count_80", "count_95", "breadth", "promo_30d", "raw_tier")
 
 
 LATCH = """lo AS (SELECT *, CASE WHEN count(*) OVER w2 >= 2 THEN min(raw_tier) OVER w2 ELSE 0 END AS lo, CASE WHEN count(*) OVER w7 >= 7 THEN max(raw_tier) OVER w7 ELSE 3 END AS hi FROM t
  WINDOW w2 AS (PARTITION BY user_id ORDER BY day ROWS 1 PRECEDING), w7 AS (PARTITION BY user_id ORDER BY day ROWS 6 PRECEDING)),
 l AS (SELECT *, """ + " + ".join(f"coalesce(last_value(CASE WHEN lo >= {k} THEN 1 WHEN hi < {k} THEN 0 END IGNORE NULLS) OVER w, 0)" for k in (1, 2, 3)) + """ AS tier FROM lo WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING)),
 q AS (SELECT *, max(tier) OVER (PARTITION BY user_id ORDER BY day) >= 1 AS peaked, count(*) OVER w14 >= 14 AND max(p) OVER w14 < 0.4 AS quiet FROM l WINDOW w14 AS (PARTITION BY user_id ORDER BY day ROWS 13 PRECEDING)),
-st AS (SELECT user_id, day, tier, CASE tier WHEN 3 THEN 'breakout' WHEN 2 THEN 'accelerating' WHEN 1 THEN 'simmering' ELSE CASE WHEN peaked AND (quiet OR coalesce(day - last_event >= 30, true)) THEN 'fading' ELSE 'dormant' END END AS state, p FROM q)"""
+st AS (SELECT user_id, day, tier, CASE CASE WHEN provisional THEN least(tier, 1) ELSE tier END WHEN 3 THEN 'breakout' WHEN 2 THEN 'accelerating' WHEN 1 THEN 'simmering' ELSE CASE WHEN peaked AND (quiet OR coalesce(day - last_event >= 30, true)) THEN 'fading' ELSE 'dormant' END END AS state, p FROM q)"""
 
 
 def momentum(spark, folder) -> DataFrame:
