@@ -151,12 +151,15 @@ def links(classes: DataFrame, bits: int = 3, keyed: int = 1, judged: int = 0) ->
     """Edges (src, dst) that join all classes (fp, rep) that link, if not each such pair."""
     masks = _keys()
     keys = F.array(*(F.xxhash64(F.lit(w), F.lit(k), F.col("fp")[w].bitwiseAND(F.lit(m))) for w in range(keyed) for k, m in enumerate(masks)))
-    by_key = classes.select("rep", F.explode(keys).alias("key"))
+    carried = ["rep", "fp"] if keyed == 1 else ["rep"]  # one word is carried along; more are joined to the few rows that share a key
+    by_key = classes.select(*carried, F.explode(keys).alias("key"))
     shared = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = by_key.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     own = F.pmod(F.xxhash64("rep", "key"), F.col("chunks")).cast("int")
-    dealt = dealt.select("key", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "rep").join(classes, "rep").select("bucket", "rep", F.slice("fp", judged + 1, F.size("fp") - judged).alias("fp"))
+    dealt = dealt.select("key", *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *carried)
+    dealt = dealt if "fp" in carried else dealt.join(classes, "rep")
+    dealt = dealt.select("bucket", "rep", F.slice("fp", judged + 1, F.size("fp") - judged).alias("fp"))
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_links, bits=bits), "src long, dst long")
 
 
