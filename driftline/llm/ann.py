@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import checkpoint
+from driftline.llm.common import checkpoint, importable
 
 TABLES, BUCKET, CHUNK, WIDTH = 2, 512, 4096, 1.5
 #: Share of a wanted neighbour's chance that the visited buckets of all tables hold together.
@@ -62,7 +62,7 @@ def sound(vector: Column) -> Column:
 
 def usable(vectors: DataFrame, k: int) -> DataFrame:
     """vec_id and embedding (of doubles) of the vectors that take part."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
+    rows = importable(vectors).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("embedding") == (size.n if size else 0))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +54,18 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """Lets Python workers that see the same files import this package, wherever the driver was started."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH", ""))))
+    return df
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that extra ones can't clash with an operator's own."""
+    importable(df)
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 

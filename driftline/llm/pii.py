@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftline.llm.common import alone, only, sliced, texts
+from driftline.llm.common import alone, importable, only, sliced, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, of its context around a trigger, and windows decoded at once.
@@ -460,4 +460,4 @@ def _redact(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray]) -> Iter
 
 def redact(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The same rows and columns, all spans in their texts replaced by marks such as [EMAIL], and n_chars to match."""
-    return docs.mapInArrow(partial(_redact, p=train(seed)), docs.schema)
+    return importable(docs).mapInArrow(partial(_redact, p=train(seed)), docs.schema)

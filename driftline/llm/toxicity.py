@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import alone, only, sliced, texts
+from driftline.llm.common import alone, importable, only, sliced, texts
 
 #: Labelled rows of each class that are learnt from, at most.
 SAMPLE = 3000
@@ -193,7 +193,7 @@ def _score(batches: Iterator[pa.RecordBatch], bias: float, weights: tuple[tuple[
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with their score, a column of that name being replaced."""
-    docs = docs.drop("score")
+    docs = importable(docs).drop("score")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(partial(_score, bias=model.bias, weights=tuple(sorted(model.weights.items()))), f"{names}, score double")
 
