@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from driftline.llm.common import alone, only, sliced, texts
 
 #: Entries that a worker keeps before it starts its memo anew.
-MEMO = 250_000
+MEMO = 700_000
 #: Pairs below one node of the segment tree.
 FAN = 16
 NONE = 1 << 96
