@@ -12,9 +12,7 @@ of its own: every pair is still covered, and no task holds more than about 2 x C
 Several fingerprints of 64 bits, each with a seed and a shingle width of its own, can stand side by side: the first
 ``keyed`` words key the classes, and the words from ``judged`` on decide, at up to ``bits`` differing bits in all. A key
 is exact up to 3 differing bits in one of the words; beyond that, candidates are those that agree on three blocks of any
-word. The pipeline keys by four words of three-word shingles, which are closer for near copies, and decides by 128 bits
-of five-word shingles: 19 of them is a cosine of 0.89 between the shingle counts, as of two texts that share four
-fifths of their shingles.
+word. The pipeline doesn't decide by bits: ``deduplicated`` compares shingle sets, see ``shingles``.
 
 Null and empty texts have no words and fingerprint zero; they link like any other. Repeated rows share a class.
 """
@@ -32,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import alone, checkpoint, only, sliced
+from driftline.llm.shingles import deduplicated  # noqa: F401
 from driftline.operators.components import connected_components
 
 SEED = 42
@@ -171,13 +170,3 @@ def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3,), bits: int =
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     digits = F.array_join(F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
     return fps.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, widths: tuple[int, ...] = (3, 3, 3, 3, 5, 5), bits: int = 19, keyed: int = 4, judged: int = 4) -> DataFrame:
-    """The rows and columns of ``docs`` with one row, of the smallest doc_id, for each group of near-duplicates.
-
-    Rows without a doc_id aren't judged and stay.
-    """
-    groups = near_duplicates(docs.where("doc_id IS NOT NULL"), widths, bits, keyed, judged)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
