@@ -120,6 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     rows = rows.join(shares.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
     whole = F.floor(F.col("rate") + EPS)
     rows = rows.withColumn("whole", whole).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0))
+    blank, rows = rows.where("size = 0"), rows.where("size > 0")  # rows without words are taken 0 times, apart from the tree
     # the bottom of the tree: rows by hash into groups, in order of size
     groups = F.greatest(F.ceil(F.col("n") / FAN), F.lit(1))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), groups))
@@ -148,7 +149,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     out = told.select("source", "source_size", "target", _fates().alias("fates"), F.posexplode("units").alias("at", "x"))
     up = F.filter("fates", lambda f: f["at"] == F.col("at"))[0]["up"]
     out = out.withColumn("copies", F.when(F.col("x.size") > 0, F.col("x.whole") + up).otherwise(0).cast("long"))
-    return out.select("x.doc_id", *(F.col(f"x.keep_{c}").alias(c) for c in keep), "x.size", "source_size", "target", "copies", (F.col("copies") * F.col("x.size")).alias("taken"))
+    out = out.select("x.doc_id", *(F.col(f"x.keep_{c}").alias(c) for c in keep), "x.size", "source_size", "target", "copies", (F.col("copies") * F.col("x.size")).alias("taken"))
+    none = F.lit(0).cast("long")
+    return out.unionByName(blank.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in keep), "size", "source_size", "target", none.alias("copies"), none.alias("taken")))
 
 
 def _fates() -> Column:

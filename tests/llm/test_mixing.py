@@ -67,3 +67,20 @@ def test_no_rows_and_no_words(spark):
     assert [r.taken for r in mixing.mix(docs).collect()] == [0, 0]
     docs = spark.createDataFrame([(1, "a b", "s")] * 3, "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(docs, keep=("text",)).collect()] == [2, 2, 2]
+
+
+def test_rows_without_words_meet_in_no_group(spark, monkeypatch):
+    held, real = [], mixing.checkpoint
+
+    def seen(df):
+        out = real(df)
+        if "units" in out.columns:
+            held.append(out.selectExpr("coalesce(max(size(units)), 0) AS n").first().n)
+        return out
+
+    monkeypatch.setattr(mixing, "checkpoint", seen)
+    rows = [(i, "a b c", "s") for i in range(5)] + [(10 + i, None if i % 2 else " ", "s") for i in range(2000)] + [(None, "", "t")] * 3
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("source", "text")).collect()
+    assert held and max(held) <= 4 * mixing.FAN
+    assert len(got) == len(rows) and all(r.copies == r.taken == 0 for r in got if r.size == 0)
+    assert sum(r.taken for r in got) == sum(r.size for r in got) == 15
