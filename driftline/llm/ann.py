@@ -7,6 +7,9 @@ and the typical product c of a wanted neighbour, the neighbour's projections are
 1 - c^2, which gives each cell a probability; buckets are visited from the likeliest on until they hold the wanted share
 of it. The candidates of all buckets and tables are merged and ranked by their exact products in double precision.
 
+A second pass looks at each query's own need: where the k-th product that a query found is below c, it visits again by
+that product, which is never above that of its true k-th neighbour; one that found fewer than k meets every bucket.
+
 ``fit`` measures c on a bounded sample (``SAMPLE`` vectors of the least hashed ids, ``ASKED`` of them as queries) and
 sets the number of projections so that a bucket holds about ``BUCKET`` vectors; every vector is indexed. A bucket with
 more than ``CHUNK`` vectors is dealt into parts that each see its queries. Of equal vectors only the ``k`` + 1 smallest
@@ -154,12 +157,15 @@ def _probed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        y = _projected(_matrix(batch.column("embedding"), index.dimension), index, True)
+        x = _matrix(batch.column("embedding"), index.dimension)
+        y = _projected(x, index, True)
+        least = batch.column("least").to_numpy(zero_copy_only=False) / np.linalg.norm(x, axis=1) / index.norm
+        cosines = np.where(np.isnan(least), index.cosine, np.clip(least, 0.0, 0.999)).tolist()
         for at in range(0, batch.num_rows, 256):
             keys, rows = [], []
             for n in range(at, min(at + 256, batch.num_rows)):
                 for t in range(TABLES):
-                    found = np.array(visits(y[t, n], offsets[t], index.cosine, each))
+                    found = np.array(visits(y[t, n], offsets[t], cosines[n], each))
                     keys.append(_key(t, found))
                     rows.append(np.full(len(found), n))
             rows = pa.array(np.concatenate(rows))
@@ -234,12 +240,27 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     kind = "bucket long, vec_id long, embedding array<double>"
     stored = checkpoint(distinct_enough(rows, k).mapInArrow(partial(_hashed, index=index), kind))
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = asked.mapInArrow(partial(_probed, index=index), kind)
     sizes = stored.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    stored = stored.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("part"), F.lit(False).alias("query"), "vec_id", "embedding")
-    asked = asked.join(sizes, "bucket").select("bucket", "vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("p"))
-    asked = asked.select(F.xxhash64("bucket", "p").alias("part"), F.lit(True).alias("query"), "vec_id", "embedding")
-    dealt = stored.unionByName(asked).repartition("part").sortWithinPartitions("part", "query")
-    found = dealt.mapInArrow(partial(_ranked, dimension=index.dimension, k=k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    dealt = stored.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("part"), F.lit(False).alias("query"), "vec_id", "embedding")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def met(visiting: DataFrame) -> DataFrame:
+        """The best of the vectors in the buckets that queries visit."""
+        to = visiting.select("bucket", "vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("p"))
+        to = to.select(F.xxhash64("bucket", "p").alias("part"), F.lit(True).alias("query"), "vec_id", "embedding")
+        both = dealt.unionByName(to).repartition("part").sortWithinPartitions("part", "query")
+        found = both.mapInArrow(partial(_ranked, dimension=index.dimension, k=k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def probed(queries: DataFrame) -> DataFrame:
+        return queries.mapInArrow(partial(_probed, index=index), kind).join(sizes, "bucket")
+
+    first = checkpoint(met(probed(asked.withColumn("least", F.lit(None).cast("double")))))
+    reached = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    again = asked.join(reached, "vec_id", "left")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    wider = again.where((F.col("n") == k) & (F.col("least") < index.cosine * index.norm * length)).select("vec_id", "embedding", "least")
+    short = again.where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "embedding")
+    second = met(probed(wider).unionByName(short.crossJoin(sizes)))
+    found = first.drop("rank").unionByName(second.drop("rank")).dropDuplicates(["query_id", "vec_id"])
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

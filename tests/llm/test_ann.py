@@ -64,3 +64,15 @@ def test_visits_go_from_likely_to_unlikely():
     found = ann.visits(y, b, 0.6, 0.99)
     assert len(set(found)) == len(found) > 5
     assert found[0] == tuple(np.floor((0.6 * y + b) / ann.WIDTH).astype(int))
+
+
+def test_recall_among_groups_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32))
+    x[:3600] = np.repeat(x[:90], 40, axis=0) + 0.001 * rng.normal(size=(3600, 32))
+    x = x[rng.permutation(6000)]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    got, want = searched(spark, [(i, v, 1) for i, v in enumerate(x.tolist())]), brute(x, np.arange(6000))
+    hits = [len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) / 20 for q in want]
+    print(f"recall {np.mean(hits):.3f}, worst twentieth {np.mean(sorted(hits)[: len(hits) // 20]):.3f}")
+    assert np.mean(hits) >= 0.9 and np.mean(sorted(hits)[: len(hits) // 20]) >= 0.6
