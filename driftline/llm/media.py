@@ -8,8 +8,8 @@ document's ordered chunk digests and the compressed bodies of those chunks that
 the bodies of the named packs, checks every digest and the payload's, and computes features from the bytes it read;
 ``compact`` rewrites the packs with just the named bodies.
 
-Bodies are shuffled only for payloads of several chunks; a payload of one chunk is read where it is stored. Copies of a
-payload share its list and its features. Null texts count as empty; those have one chunk of ``UNIT`` bytes. Only the key
+Payloads of one chunk go the same way as others and share their chunks. Copies of a payload share its list and its
+features. Null texts count as empty; those have one chunk of ``UNIT`` bytes. Only the key
 and the text are read, so other columns can't clash.
 """
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import only, shared_folder, texts
 
-UNIT, LEAST, MOST = 576, 16 << 10, 128 << 10
+UNIT, LEAST, MOST = 576, 256, 8 << 10
 #: Top bits of the gear hash that are clear at a cut: 2 ** CLEAR bytes are between cuts, besides LEAST.
-CLEAR = 14
+CLEAR = 10
 LEVEL = 6
 #: Digests that a task remembers before it starts anew.
 SEEN = 200_000
@@ -82,13 +82,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests = [hashlib.sha256(c).digest() for c in chunks]
             new = {}
             for d, c in zip(digests, chunks):
-                if (d, len(chunks) > 1) not in seen:
-                    seen.add((d, len(chunks) > 1))
+                if d not in seen:
+                    seen.add(d)
                     new[d] = squeeze(c)
             if len(seen) > SEEN:
                 seen.clear()
             pack += 1
-            rows.append((doc_id, len(text.encode()), digests[0] if len(digests) == 1 else hashlib.sha256(data).digest(), digests, pack, [{"digest": d, "body": b} for d, b in new.items()]))
+            rows.append((doc_id, len(text.encode()), hashlib.sha256(data).digest(), digests, pack, [{"digest": d, "body": b} for d, b in new.items()]))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.struct([("digest", pa.binary()), ("body", pa.binary())]))]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_bytes", "payload_id", "digests", "pack", "bodies"])
 
@@ -99,18 +99,18 @@ def store(docs: DataFrame, folder: str) -> None:
 
 
 def _bodies(packs: DataFrame) -> DataFrame:
-    return packs.select((F.size("digests") > 1).alias("part"), "pack", F.explode("bodies").alias("b")).select("part", "pack", "b.digest", "b.body")
+    """(part, pack, digest, body) of each stored body, part being its place in the pack."""
+    return packs.select("pack", F.posexplode("bodies").alias("part", "b")).select("part", "pack", "b.digest", "b.body")
 
 
 def index(packs: DataFrame) -> DataFrame:
-    """(part, digest, pack): for each digest the pack that holds its body; those of payloads in parts apart from the others."""
-    held = packs.select((F.size("digests") > 1).alias("part"), "pack", F.explode("bodies.digest").alias("digest"))
-    return held.groupBy("part", "digest").agg(F.min("pack").alias("pack"))
+    """(digest, pack): for each digest the pack that holds its body."""
+    return packs.select("pack", F.explode("bodies.digest").alias("digest")).groupBy("digest").agg(F.min("pack").alias("pack"))
 
 
 def compact(packs: DataFrame, folder: str) -> None:
     """Writes the packs' lists with only the bodies that the index names, for keeping."""
-    rest = _bodies(packs).join(index(packs), ["part", "digest", "pack"]).groupBy("pack").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
+    rest = _bodies(packs).join(index(packs), ["digest", "pack"]).groupBy("pack").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
     lists = packs.drop("bodies").join(rest, "pack", "left")
     lists.select("doc_id", "n_bytes", "payload_id", "digests", "pack", F.coalesce("bodies", F.array()).alias("bodies")).write.mode("overwrite").option("compression", "none").parquet(folder)
 
@@ -139,16 +139,8 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in FEATURES.split(", ")])
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of payloads of one chunk, and their pack."""
-    for batch in batches:
-        rows = [features(opened(b, d), [b], d) for d, b in zip(batch.column("digest").to_pylist(), batch.column("body").to_pylist())]
-        table = _table(rows)
-        yield pa.RecordBatch.from_arrays([*table.columns, batch.column("pack")], [*table.schema.names, "pack"])
-
-
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of payloads in parts; rows come by payload and place."""
+    """Features of payloads; rows come by payload and place."""
     now, parts, stored = None, [], []
     for batch in batches:
         rows = []
@@ -166,16 +158,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(packs: DataFrame) -> DataFrame:
     """Features of each distinct payload, from the bytes that its ordered list leads to."""
-    named = index(packs)
-    whole = _bodies(packs.where(F.size("digests") == 1)).mapInArrow(_whole, f"{FEATURES}, pack long")
-    whole = whole.join(named.where("NOT part").select(F.col("digest").alias("payload_id"), "pack"), ["payload_id", "pack"], "left_semi").drop("pack")
-    long = packs.where(F.size("digests") > 1)
-    lists = long.groupBy("payload_id").agg(F.min("digests").alias("digests")).select("payload_id", F.posexplode("digests").alias("place", "digest"))
-    lists = lists.join(named.where("part").drop("part"), "digest")
-    bodies = _bodies(long).drop("part")
-    parts = lists.join(bodies, ["digest", "pack"]).select("payload_id", "place", "digest", "body")
+    lists = packs.groupBy("payload_id").agg(F.min("digests").alias("digests")).select("payload_id", F.posexplode("digests").alias("place", "digest"))
+    lists = lists.join(index(packs), "digest")
+    parts = lists.join(_bodies(packs).drop("part"), ["digest", "pack"]).select("payload_id", "place", "digest", "body")
     parts = parts.repartition("payload_id").sortWithinPartitions("payload_id", "place")
-    return whole.unionByName(parts.mapInArrow(_joined, FEATURES))
+    return parts.mapInArrow(_joined, FEATURES)
 
 
 def payloads(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -62,3 +62,27 @@ def test_damage_is_noticed():
 
 def test_no_rows(spark, tmp_path):
     assert media.payloads(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e").count() == 0
+
+
+def test_passages_of_short_documents_are_shared():
+    rng = random.Random(7)
+    passage = rng.randbytes(6000)
+    kept = []
+    for _ in range(2):
+        data = rng.randbytes(rng.randrange(500, 3000)) + passage + rng.randbytes(900)
+        ends = media.cuts(data)
+        kept.append({data[a:b]: b - a for a, b in zip([0, *ends], ends)})
+    assert sum(kept[0][c] for c in kept[0].keys() & kept[1].keys()) > 1500
+
+
+def test_one_chunk_payloads_share_with_longer_ones(spark, tmp_path):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh") for _ in range(576 * 40))
+    first = long[: media.cuts(media.payload_of(long))[0]]
+    rows = [(1, long), (2, first), (3, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert len(media.payloads(docs, f"file://{tmp_path}/s").collect()) == 3
+    packs = spark.read.parquet(f"file://{tmp_path}/s")
+    digests = [d for r in packs.select("digests").collect() for d in r.digests]
+    bodies = [r.digest for r in media._bodies(packs).collect()]
+    assert len(bodies) == len(set(bodies)) == len(set(digests))
