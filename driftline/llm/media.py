@@ -2,41 +2,50 @@
 
 A text becomes a payload of 8-bit samples: its UTF-8 bytes and bytes 255 up to a positive multiple of ``UNIT``. The
 payload is cut where a rolling gear hash of the last 32 bytes has its top bits clear, at least ``LEAST`` and at most
-``MOST`` bytes apart, so a passage that moves keeps its chunks. ``store`` writes a table of packs: each row holds a
-document's ordered chunk digests and the compressed bodies of those chunks that its partition hasn't stored before.
-``index`` deduplicates the digests over all packs, naming one pack for each; ``read_back`` joins the ordered lists with
-the bodies of the named packs, checks every digest and the payload's, and computes features from the bytes it read;
-``compact`` rewrites the packs with just the named bodies.
+``MOST`` bytes apart, so a passage that moves keeps its chunks. ``store`` writes a table of packs, a row for each
+document: its ordered chunk digests, and the compressed bodies of those chunks that its partition hasn't stored before.
+The table is bucketed by ``part``, the partition that wrote a row, so later joins on it don't move the bodies.
+
+``holders`` deduplicates the digests over all packs by an aggregate and names one pack for each; ``read_back`` joins the
+ordered lists with the named bodies, checks every digest and the payload's, and computes features from the bytes it
+read. A chunk whose named pack is the list's own is read where it lies; only bodies that another pack names travel, those
+of a chunk that very many lists want in as many copies as keep each join task small. ``compact`` rewrites the packs with
+just the named bodies.
 
 Payloads of one chunk go the same way as others and share their chunks. Copies of a payload share its list and its
-features. Null texts count as empty; those have one chunk of ``UNIT`` bytes. Only the key
-and the text are read, so other columns can't clash.
+features, so just one of them is read back. Null texts count as empty; those have one chunk of ``UNIT`` bytes. Rows that
+repeat give repeated results, and an empty table gives none. Only the key and the text are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import only, shared_folder, texts
+from driftline.llm.common import alone, checkpoint, only, shared_folder, sliced, texts
 
 UNIT, LEAST, MOST = 576, 256, 8 << 10
 #: Top bits of the gear hash that are clear at a cut: 2 ** CLEAR bytes are between cuts, besides LEAST.
 CLEAR = 10
-LEVEL = 6
+LEVEL = 3
 #: Digests that a task remembers before it starts anew.
 SEEN = 200_000
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 42) for b in range(256)], np.uint32)
-PACK = "doc_id long, n_bytes long, payload_id binary, digests array<binary>, pack long, bodies array<struct<digest:binary,body:binary>>"
+#: Lists that one copy of a wanted body serves.
+SPREAD = 4096
+PACK = "doc_id long, n_bytes long, payload_id binary, digests array<binary>, part int, pack long, held array<binary>, bodies array<binary>"
 FEATURES = "payload_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -71,48 +80,81 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze, seen, pack = zstandard.ZstdCompressor(level=LEVEL).compress, set(), TaskContext.get().partitionId() << 40
-    for batch in batches:
+    alone()
+    squeeze, seen, part, pack = zstandard.ZstdCompressor(level=LEVEL).compress, set(), TaskContext.get().partitionId(), 0
+    binary, lists = pa.binary(), pa.list_(pa.binary())
+    kinds = [pa.int64(), pa.int64(), binary, lists, pa.int32(), pa.int64(), lists, lists]
+    for batch in sliced(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
             data = payload_of(text)
             ends = cuts(data)
             chunks = [data[a:b] for a, b in zip([0, *ends], ends)]
-            digests = [hashlib.sha256(c).digest() for c in chunks]
-            new = {}
-            for d, c in zip(digests, chunks):
-                if d not in seen:
-                    seen.add(d)
-                    new[d] = squeeze(c)
+            digests = [digest_of(c) for c in chunks]
+            new = {d: c for d, c in zip(digests, chunks) if d not in seen}
             if len(seen) > SEEN:
                 seen.clear()
+            seen.update(new)
             pack += 1
-            rows.append((doc_id, len(text.encode()), hashlib.sha256(data).digest(), digests, pack, [{"digest": d, "body": b} for d, b in new.items()]))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.struct([("digest", pa.binary()), ("body", pa.binary())]))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_bytes", "payload_id", "digests", "pack", "bodies"])
+            rows.append((doc_id, len(text.encode()), hashlib.sha256(data).digest(), digests, part, pack, list(new), [squeeze(c) for c in new.values()]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in PACK.split(", ")])
+
+
+def _save(packs: DataFrame, folder: str) -> DataFrame:
+    """Writes packs as a table that is bucketed by part, and returns it."""
+    spark = packs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"driftline_packs_{uuid.uuid4().hex}"
+    packs.write.bucketBy(buckets, "part").mode("overwrite").options(path=folder, compression="none").saveAsTable(name)
+    return spark.table(name)
+
+
+def store(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes the packs of all rows below a folder, and returns them."""
+    return _save(only(docs, "doc_id", "text").mapInArrow(_pack, PACK), folder)
+
+
+@contextmanager
+def _in_place(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a join on part and pack may use a partitioning by part alone, so packs aren't moved by both."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def store(docs: DataFrame, folder: str) -> None:
-    """Writes the packs of all rows."""
-    only(docs, "doc_id", "text").mapInArrow(_pack, PACK).write.mode("overwrite").option("compression", "none").parquet(folder)
+def holders(packs: DataFrame) -> DataFrame:
+    """(digest, holder): for each digest the place (part, pack) of the body that stands for all its copies."""
+    return packs.select(F.struct("part", "pack").alias("at"), F.explode("held").alias("digest")).groupBy("digest").agg(F.min("at").alias("holder"))
 
 
-def _bodies(packs: DataFrame) -> DataFrame:
-    """(part, pack, digest, body) of each stored body, part being its place in the pack."""
-    return packs.select("pack", F.posexplode("bodies").alias("part", "b")).select("part", "pack", "b.digest", "b.body")
+def _named(packs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The packs joined with what is wanted of them (a row for each part and pack), moving that and not the packs."""
+    buckets = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packs.join(wanted.repartition(buckets, "part").hint("shuffle_hash"), ["part", "pack"])
 
 
-def index(packs: DataFrame) -> DataFrame:
-    """(digest, pack): for each digest the pack that holds its body."""
-    return packs.select("pack", F.explode("bodies.digest").alias("digest")).groupBy("digest").agg(F.min("pack").alias("pack"))
+def _bodies(held: str = "held", bodies: str = "bodies") -> Column:
+    return F.arrays_zip(F.col(held).alias("digest"), F.col(bodies).alias("body"))
 
 
-def compact(packs: DataFrame, folder: str) -> None:
-    """Writes the packs' lists with only the bodies that the index names, for keeping."""
-    rest = _bodies(packs).join(index(packs), ["digest", "pack"]).groupBy("pack").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
-    lists = packs.drop("bodies").join(rest, "pack", "left")
-    lists.select("doc_id", "n_bytes", "payload_id", "digests", "pack", F.coalesce("bodies", F.array()).alias("bodies")).write.mode("overwrite").option("compression", "none").parquet(folder)
+def compact(packs: DataFrame, folder: str) -> DataFrame:
+    """Writes the packs with only the bodies that ``holders`` names, for keeping, and returns them."""
+    named = holders(packs).groupBy("holder").agg(F.collect_list("digest").alias("named")).select("holder.*", "named")
+    buckets = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = packs.join(named.repartition(buckets, "part").hint("shuffle_hash"), ["part", "pack"], "left")
+    kept = F.filter(_bodies(), lambda x: F.array_contains(F.coalesce("named", F.array().cast("array<binary>")), x["digest"]))
+    both = both.withColumn("kept", kept).withColumn("held", F.col("kept.digest")).withColumn("bodies", F.col("kept.body"))
+    with _in_place(packs.sparkSession):
+        return _save(both.select(*(x.split()[0] for x in PACK.split(", "))), folder)
 
 
 def features(data: bytes, stored: list[bytes], payload_id: bytes) -> tuple:
@@ -129,7 +171,7 @@ def features(data: bytes, stored: list[bytes], payload_id: bytes) -> tuple:
 def opened(body: bytes, digest: bytes) -> bytes:
     """A chunk's bytes, checked against its digest."""
     data = zstandard.ZstdDecompressor().decompress(body)
-    if hashlib.sha256(data).digest() != digest:
+    if digest_of(data) != digest:
         raise ValueError(f"chunk {digest.hex()} isn't what was stored")
     return data
 
@@ -139,37 +181,40 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in FEATURES.split(", ")])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of payloads; rows come by payload and place."""
-    now, parts, stored = None, [], []
-    for batch in batches:
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of payloads from their ordered digests, the bodies beside them and those that came from elsewhere."""
+    alone()
+    for batch in sliced(batches, 256):
         rows = []
-        for payload, digest, body in zip(*(batch.column(c).to_pylist() for c in ("payload_id", "digest", "body"))):
-            if payload != now:
-                if parts:
-                    rows.append(features(b"".join(parts), stored, now))
-                now, parts, stored = payload, [], []
-            parts.append(opened(body, digest))
-            stored.append(body)
+        for payload, digests, held, bodies, come in zip(*(batch.column(c).to_pylist() for c in ("payload_id", "digests", "held", "bodies", "come"))):
+            own = dict(zip(held, bodies)) | {x["digest"]: x["body"] for x in come or ()}
+            data = {d: opened(own[d], d) for d in set(digests)}
+            rows.append(features(b"".join(map(data.__getitem__, digests)), [own[d] for d in digests], payload))
         yield _table(rows)
-    if parts:
-        yield _table([features(b"".join(parts), stored, now)])
 
 
 def read_back(packs: DataFrame) -> DataFrame:
     """Features of each distinct payload, from the bytes that its ordered list leads to."""
-    lists = packs.groupBy("payload_id").agg(F.min("digests").alias("digests")).select("payload_id", F.posexplode("digests").alias("place", "digest"))
-    lists = lists.join(index(packs), "digest")
-    parts = lists.join(_bodies(packs).drop("part"), ["digest", "pack"]).select("payload_id", "place", "digest", "body")
-    parts = parts.repartition("payload_id").sortWithinPartitions("payload_id", "place")
-    return parts.mapInArrow(_joined, FEATURES)
+    lists = packs.groupBy("payload_id").agg(F.min(F.struct("part", "pack", "digests")).alias("x"))
+    lists = checkpoint(lists.select(F.struct("x.part", "x.pack").alias("at"), F.array_distinct("x.digests").alias("digests")))
+    wants = lists.select("at", F.explode("digests").alias("digest")).join(holders(packs), "digest").where("holder != at")
+    wants = checkpoint(wants)
+    asked = wants.groupBy("digest", "holder").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("copies"))
+    exports = asked.groupBy("holder").agg(F.map_from_entries(F.collect_list(F.struct("digest", "copies"))).alias("copies")).select("holder.*", "copies")
+    sent = _named(packs.select("part", "pack", "held", "bodies"), exports)
+    sent = sent.select("copies", F.explode(F.filter(_bodies(), lambda x: F.map_contains_key("copies", x["digest"]))).alias("x"))
+    sent = sent.select("x.digest", "x.body", F.explode(F.sequence(F.lit(0), F.element_at("copies", F.col("x.digest")) - 1)).alias("copy"))
+    copies = asked.select("digest", "copies")
+    dealt = wants.join(copies, "digest").select("at", "digest", F.pmod(F.xxhash64("at"), F.col("copies")).cast("int").alias("copy"))
+    come = dealt.join(sent, ["digest", "copy"]).groupBy("at").agg(F.collect_list(F.struct("digest", "body")).alias("come"))
+    needs = lists.select("at").join(come, "at", "left").select("at.*", "come")
+    whole = _named(packs.select("part", "pack", "payload_id", "digests", "held", "bodies"), needs)
+    with _in_place(packs.sparkSession):
+        return checkpoint(whole.select("payload_id", "digests", "held", "bodies", "come").mapInArrow(_rebuilt, FEATURES))
 
 
 def payloads(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Stores all payloads below ``folder`` (by default, one of the shared folders), reads them back and returns each row's features."""
-    spark: SparkSession = docs.sparkSession
-    folder = folder or shared_folder(spark, "media")
-    store(docs, folder)
-    packs = spark.read.schema(PACK).parquet(folder)
+    packs = store(docs, folder or shared_folder(docs.sparkSession, "media"))
     found = read_back(packs)
     return packs.select("doc_id", "n_bytes", "payload_id").join(found, "payload_id").select("doc_id", "n_bytes", *(c.split()[0] for c in FEATURES.split(", ")[1:]))

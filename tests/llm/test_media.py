@@ -37,7 +37,7 @@ def test_round_trip(spark, tmp_path):
     words = "abc def ghij é ü klm".split()
     long = " ".join(rng.choice(words) for _ in range(30_000))
     rows = [(1, None), (2, ""), (3, "a" * 576), (4, "a" * 575), (5, long), (6, long), (7, "x" + long), (7, "x" + long), (8, long + "y"), (None, "é")] + [(100 + i, "same") for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pack", F.lit(0)).repartition(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pack", F.lit(0)).withColumn("part", F.lit("x")).withColumn("a.b", F.lit(1)).repartition(4)
     got = media.payloads(docs, f"file://{tmp_path}/m").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
     text, seen = dict(rows), {}
@@ -49,8 +49,9 @@ def test_round_trip(spark, tmp_path):
     packs = spark.read.parquet(f"file://{tmp_path}/m")
     media.compact(packs, f"file://{tmp_path}/c")
     small = spark.read.parquet(f"file://{tmp_path}/c")
-    bodies = media._bodies(small)
-    assert bodies.count() == bodies.select("part", "digest").distinct().count() == media.index(packs).count()
+    kept = small.select(F.explode("held").alias("digest"))
+    assert kept.count() == kept.distinct().count() == media.holders(packs).count()
+    assert small.where("size(held) <> size(bodies)").count() == 0
     assert {tuple(r) for r in media.read_back(small).collect()} == {tuple(r) for r in media.read_back(packs).collect()}
 
 
@@ -84,5 +85,27 @@ def test_one_chunk_payloads_share_with_longer_ones(spark, tmp_path):
     assert len(media.payloads(docs, f"file://{tmp_path}/s").collect()) == 3
     packs = spark.read.parquet(f"file://{tmp_path}/s")
     digests = [d for r in packs.select("digests").collect() for d in r.digests]
-    bodies = [r.digest for r in media._bodies(packs).collect()]
+    bodies = [d for r in packs.select("held").collect() for d in r.held]
     assert len(bodies) == len(set(bodies)) == len(set(digests))
+
+
+def test_a_chunk_that_many_lists_want(spark, tmp_path, monkeypatch):
+    """Copies of a wanted body: the join of lists with bodies is dealt over several keys."""
+    monkeypatch.setattr(media, "SPREAD", 8)
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(20_000)
+    rows = [(i, text(700) + passage + text(300)) for i in range(60)]
+    got = media.payloads(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), f"file://{tmp_path}/w").collect()
+    assert {r.doc_id: r.payload_sha256 for r in got} == {i: hashlib.sha256(media.payload_of(t)).hexdigest() for i, t in rows}
+
+
+def test_bodies_stay_where_they_are(spark, tmp_path):
+    """The packs are read by bucket: no exchange lies between their bodies and the join."""
+    docs = spark.createDataFrame([(i, f"text {i} " * 200) for i in range(50)], "doc_id long, text string")
+    packs = media.store(docs, f"file://{tmp_path}/b")
+    asked = packs.select("part", "pack").distinct()
+    with media._in_place(spark):
+        plan = media._named(packs.select("part", "pack", "bodies"), asked)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "bodies" in line)
+    assert "Bucketed: true" in scan
