@@ -11,13 +11,15 @@ A second pass looks at each query's own need: where the k-th product that a quer
 that product, which is never above that of its true k-th neighbour; one that found fewer than k meets every bucket.
 
 ``fit`` measures c on a bounded sample (``SAMPLE`` vectors of the least hashed ids, ``ASKED`` of them as queries) and
-sets the number of projections so that a bucket holds about ``BUCKET`` vectors; every vector is indexed. A bucket with
-more than ``CHUNK`` vectors is dealt into parts that each see its queries. Of equal vectors only the ``k`` + 1 smallest
-ids can be among the nearest, so only these are indexed.
+sets the number of projections so that a bucket holds about ``BUCKET`` vectors; the sample is taken after equal vectors
+are thinned, so common ones don't set c, and every vector is indexed. A bucket is dealt into parts of about ``CHUNK``
+vectors and its visitors into parts of ``CROWD`` queries, and each pair of parts meets in a task of its own. Of equal
+vectors only the ``k`` + 1 smallest ids can be among the nearest, so only these are indexed.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither
-as queries nor as candidates. Ties go to the smaller id. Rows that repeat an id count once each as candidates, and a
-query isn't its own candidate. An empty table gives no rows. Only the id and the vector are read.
+as queries nor as candidates. Ties go to the smaller id. Rows that repeat an id and a vector count once; an id with
+several vectors is found by the best of them and asks with the least one, and a query isn't its own candidate. An empty
+table gives no rows. Only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import checkpoint, importable
 
-TABLES, BUCKET, CHUNK, WIDTH = 2, 512, 4096, 1.5
+TABLES, BUCKET, CHUNK, CROWD, WIDTH = 4, 256, 1024, 512, 2.0
 #: Share of a wanted neighbour's chance that the visited buckets of all tables hold together.
-SUCCESS = 0.985
+SUCCESS = 0.9
 SAMPLE, ASKED = 4000, 200
 #: Candidates that a task holds before it keeps each query's best.
 HELD = 1_000_000
@@ -71,9 +73,10 @@ def usable(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def distinct_enough(rows: DataFrame, k: int) -> DataFrame:
-    """Of equal vectors, the k + 1 rows of the smallest ids; ranks are cut before the shuffle, so a hot vector is few rows."""
+    """Of equal vectors, the k + 1 smallest ids, once each; ranks are cut before the shuffle, so a hot vector is few rows."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    once = rows.groupBy("vec_id", "embedding").agg(F.lit(1).alias("one")).drop("one")
+    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
 
 
 def fit(rows: DataFrame, k: int) -> Index | None:
@@ -173,12 +176,14 @@ def _probed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
 
 
 def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Each query's k best, every pair once."""
+    """Each query's k best, every pair once with its best score."""
     q, v, s = (np.concatenate([f[i] for f in found]) for i in range(3))
-    order = np.lexsort((v, -s, q))
+    order = np.lexsort((-s, v, q))
     q, v, s = q[order], v[order], s[order]
     new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])] if len(q) else np.empty(0, bool)
     q, v, s = q[new], v[new], s[new]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
     keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
     return [(q[keep], v[keep], s[keep])]
@@ -192,14 +197,18 @@ def _ranked(batches: Iterator[pa.RecordBatch], dimension: int, k: int) -> Iterat
     def meet(asked: np.ndarray, names: np.ndarray) -> None:
         nonlocal held, found, frozen
         if frozen is None:
-            frozen = np.concatenate(stored), np.concatenate(ids)
-        x, own = frozen
+            own = np.concatenate(ids)
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            frozen = np.concatenate(stored)[order], own, np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        x, own, starts = frozen
         for at in range(0, len(asked), 512):
             q, who = asked[at : at + 512], names[at : at + 512]
             near = q @ x.T
             near[who[:, None] == own[None, :]] = -np.inf
-            if near.shape[1] > k:
-                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            if len(starts) > k:
+                each = near if len(starts) == len(own) else np.maximum.reduceat(near, starts, axis=1)  # an id's best
+                least = np.partition(each, len(starts) - k, axis=1)[:, len(starts) - k]
                 a, b = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (near > -np.inf))
             else:
                 a, b = np.nonzero(near > -np.inf)
@@ -234,33 +243,42 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the nearest of each query, a row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = usable(vectors, k)
-    index = fit(rows, k)
+    kept = checkpoint(distinct_enough(rows, k))
+    index = fit(kept, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = "bucket long, vec_id long, embedding array<double>"
-    stored = checkpoint(distinct_enough(rows, k).mapInArrow(partial(_hashed, index=index), kind))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    sizes = stored.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    dealt = stored.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("part"), F.lit(False).alias("query"), "vec_id", "embedding")
+    stored = checkpoint(kept.mapInArrow(partial(_hashed, index=index), kind))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sizes = stored.groupBy("bucket").agg(F.count("*").alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def met(visiting: DataFrame) -> DataFrame:
-        """The best of the vectors in the buckets that queries visit."""
-        to = visiting.select("bucket", "vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("p"))
-        to = to.select(F.xxhash64("bucket", "p").alias("part"), F.lit(True).alias("query"), "vec_id", "embedding")
-        both = dealt.unionByName(to).repartition("part").sortWithinPartitions("part", "query")
-        found = both.mapInArrow(partial(_ranked, dimension=index.dimension, k=k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    def met(stored: DataFrame, visiting: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The best of the vectors in the buckets that queries visit; ``sizes`` has the vectors n of each bucket."""
+        visitors = visiting.groupBy("bucket").agg(F.count("*").alias("m"))
+        dealt = sizes.join(visitors, "bucket").select("bucket", F.ceil(F.col("n") / CHUNK).alias("parts"), F.ceil(F.col("m") / CROWD).alias("crowds"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+        row = lambda query: (F.xxhash64("bucket", "p", "c").alias("part"), F.lit(query).alias("query"), "vec_id", "embedding")
+        there = stored.join(dealt, "bucket").select("bucket", own("parts").alias("p"), upto("crowds").alias("c"), "vec_id", "embedding").select(*row(False))
+        here = visiting.join(dealt, "bucket").select("bucket", upto("parts").alias("p"), own("crowds").alias("c"), "vec_id", "embedding").select(*row(True))
+        both = there.unionByName(here).repartition("part").sortWithinPartitions("part", "query")
+        found = both.mapInArrow(partial(_ranked, dimension=index.dimension, k=k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def probed(queries: DataFrame) -> DataFrame:
-        return queries.mapInArrow(partial(_probed, index=index), kind).join(sizes, "bucket")
+        visiting = queries.mapInArrow(partial(_probed, index=index), kind)
+        return checkpoint(visiting.join(sizes.select("bucket"), "bucket", "left_semi"))
 
-    first = checkpoint(met(probed(asked.withColumn("least", F.lit(None).cast("double")))))
+    first = checkpoint(met(stored, probed(asked.withColumn("least", F.lit(None).cast("double"))), sizes))
     reached = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
     again = asked.join(reached, "vec_id", "left")
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     wider = again.where((F.col("n") == k) & (F.col("least") < index.cosine * index.norm * length)).select("vec_id", "embedding", "least")
-    short = again.where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "embedding")
-    second = met(probed(wider).unionByName(short.crossJoin(sizes)))
-    found = first.drop("rank").unionByName(second.drop("rank")).dropDuplicates(["query_id", "vec_id"])
+    found = first.drop("rank").unionByName(met(stored, probed(wider), sizes).drop("rank"))
+    # queries with too few candidates are held against all vectors, in blocks
+    short = again.where(F.coalesce("n", F.lit(0)) < k).select(F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding")
+    blocks = kept.select(F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding")
+    found = found.unionByName(met(blocks, short, kept.groupBy(F.lit(0).cast("long").alias("bucket")).agg(F.count("*").alias("n"))).drop("rank"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
