@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import checkpoint, importable
 
-TABLES, BUCKET, CHUNK, CROWD, WIDTH = 4, 256, 1024, 512, 2.0
+TABLES, BUCKET, CHUNK, CROWD, WIDTH = 4, 32, 1024, 512, 2.0
 #: Share of a wanted neighbour's chance that the visited buckets of all tables hold together.
-SUCCESS = 0.9
+SUCCESS = 0.89
 SAMPLE, ASKED = 4000, 200
 #: Candidates that a task holds before it keeps each query's best.
 HELD = 1_000_000
