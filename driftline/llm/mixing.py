@@ -6,11 +6,14 @@ integral, so that each row keeps its expectation and the source's words are kept
 are folded this way, each leaving at most one fractional row; these residuals are folded again, in a reduction tree
 that ends with at most one row for each source, so the words taken differ from the target by less than one row's.
 
-All work is in DataFrame functions. Draws are hashes of the row's id and place, so reruns agree. A group is picked by
-hash among as many as the source's row count asks for, so a hot source has many groups and no task gets all of it.
+All work is in DataFrame functions. Draws are hashes of the row and its group, so reruns agree. A group is picked by
+hash of the row among as many as the source's row count asks for, so a hot source has many groups and no task gets all
+of it; a group that rows of the same id and text crowd is dealt further by their place in the input. The tree holds ids,
+sizes and hashes, never texts.
 
 Null texts have size 0; rows without words are taken 0 times. A null source is a source, last in order. Rows that
-repeat are separate rows. An empty table gives an empty mix. Columns other than the key, text and source play no part.
+repeat are separate rows, as are rows without an id. An empty table gives an empty mix. Columns other than the key, text
+and source play no part. The sources' own table is put in order in one task: it has a row for each source.
 """
 
 from __future__ import annotations
@@ -110,10 +113,14 @@ def _draw(*of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 11) * F.lit(2.0**-53)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in ``keep``, size, source_size, target, copies and taken (copies times size) of each row."""
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    rows = rows if keep else checkpoint(rows)  # kept columns may be large, so they are read again instead
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 1, identity: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken (copies times size) and copies of each row.
+
+    ``identity``, if given, comes back with each row under that name; it should be small, such as a hash of the row.
+    """
+    own = [identity.alias("identity")] if identity is not None else []
+    rows = checkpoint(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("salt"), F.monotonically_increasing_id().alias("place"), *own))
+    own = ["identity"] * len(own)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     shares = checkpoint(targets(sizes, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -123,10 +130,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     blank, rows = rows.where("size = 0"), rows.where("size > 0")  # rows without words are taken 0 times, apart from the tree
     # the bottom of the tree: rows by hash into groups, in order of size
     groups = F.greatest(F.ceil(F.col("n") / FAN), F.lit(1))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), groups))
-    unit = F.struct("size", "doc_id", "whole", "p", *(f"keep_{c}" for c in keep))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("salt", "size", F.lit(seed)), groups))
+    crowded = rows.groupBy(F.col("source").alias("of"), F.col("g").alias("to")).agg(F.count("*").alias("held")).where(F.col("held") > 4 * FAN)
+    rows = rows.drop("of").join(crowded, F.col("source").eqNullSafe(F.col("of")) & (F.col("g") == F.col("to")), "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("place", F.lit(seed)), F.ceil(F.col("held") / FAN)), F.lit(0))
+    rows = rows.withColumn("g", F.col("g") + groups * piece)
+    unit = F.struct("size", "doc_id", "salt", "place", "whole", "p", *own)
     below = rows.groupBy("source", "g").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"), *(F.first(c).alias(c) for c in ("source_size", "target", "n")))
-    inputs = F.transform("units", lambda x, i: F.struct(i.cast("long").alias("at"), x["p"].alias("p"), x["size"].cast("double").alias("size"), _draw(x["doc_id"], i, F.lit(seed)).alias("u")))
+    draw = lambda x, i: _draw(x["salt"], F.col("g"), i, F.lit(seed))
+    inputs = F.transform("units", lambda x, i: F.struct(i.cast("long").alias("at"), x["p"].alias("p"), x["size"].cast("double").alias("size"), draw(x, i).alias("u")))
     below = checkpoint(below.withColumn("fold", _fold(inputs)))
     # the levels above: each folds the residuals of the groups below, as many levels as the largest source needs
     most = -(-(shares.agg(F.max("n")).first()[0] or 0) // FAN)
@@ -149,9 +161,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     out = told.select("source", "source_size", "target", _fates().alias("fates"), F.posexplode("units").alias("at", "x"))
     up = F.filter("fates", lambda f: f["at"] == F.col("at"))[0]["up"]
     out = out.withColumn("copies", F.when(F.col("x.size") > 0, F.col("x.whole") + up).otherwise(0).cast("long"))
-    out = out.select("x.doc_id", *(F.col(f"x.keep_{c}").alias(c) for c in keep), "x.size", "source_size", "target", "copies", (F.col("copies") * F.col("x.size")).alias("taken"))
-    none = F.lit(0).cast("long")
-    return out.unionByName(blank.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in keep), "size", "source_size", "target", none.alias("copies"), none.alias("taken")))
+    kept = ("size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *own)
+    out = out.select("x.doc_id", "x.size", "source_size", "target", "copies", *(f"x.{c}" for c in own)).select("doc_id", *kept)
+    return out.unionByName(blank.withColumn("copies", F.lit(0).cast("long")).select("doc_id", *kept))
 
 
 def _fates() -> Column:

@@ -66,7 +66,7 @@ def test_no_rows_and_no_words(spark):
     docs = spark.createDataFrame([(1, None, None), (1, None, None)], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(docs).collect()] == [0, 0]
     docs = spark.createDataFrame([(1, "a b", "s")] * 3, "doc_id long, text string, source string")
-    assert [r.taken for r in mixing.mix(docs, keep=("text",)).collect()] == [2, 2, 2]
+    assert [r.taken for r in mixing.mix(docs, identity=F.md5("text")).collect()] == [2, 2, 2]
 
 
 def test_rows_without_words_meet_in_no_group(spark, monkeypatch):
@@ -80,7 +80,32 @@ def test_rows_without_words_meet_in_no_group(spark, monkeypatch):
 
     monkeypatch.setattr(mixing, "checkpoint", seen)
     rows = [(i, "a b c", "s") for i in range(5)] + [(10 + i, None if i % 2 else " ", "s") for i in range(2000)] + [(None, "", "t")] * 3
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("source", "text")).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), identity=F.col("source")).collect()
     assert held and max(held) <= 4 * mixing.FAN
     assert len(got) == len(rows) and all(r.copies == r.taken == 0 for r in got if r.size == 0)
     assert sum(r.taken for r in got) == sum(r.size for r in got) == 15
+
+
+def test_rows_of_one_id_are_dealt_over_groups(spark, monkeypatch):
+    """10,000 rows of one id and as many without one, all of one text: no group gets them all."""
+    held, real = [], mixing.checkpoint
+
+    def seen(df):
+        out = real(df)
+        if "units" in out.columns:
+            held.append(out.selectExpr("coalesce(max(size(units)), 0) AS n").first().n)
+        return out
+
+    monkeypatch.setattr(mixing, "checkpoint", seen)
+    docs = spark.range(30_000).selectExpr("CASE WHEN id < 10000 THEN 7 WHEN id < 20000 THEN NULL ELSE id END AS doc_id", "'a b c' AS text", "CASE WHEN id % 3 = 0 THEN 's' ELSE 't' END AS source")
+    got = mixing.mix(docs)
+    assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.count() == 30_000 and held and max(held) <= 8 * mixing.FAN
+    for r in got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect():
+        assert abs(r.taken - r.target) <= 3 and r.most <= 3
+    assert sorted(map(tuple, mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies")).collect()), key=str) == sorted(map(tuple, got.groupBy("doc_id").agg(F.sum("copies")).collect()), key=str)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 2_000_000, "s"), (2, "w", "s")], "doc_id long, text string, source string")
+    assert sorted((r.size, r.taken) for r in mixing.mix(docs).collect()) == [(1, 1), (2_000_000, 2_000_000)]
