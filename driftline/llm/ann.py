@@ -12,9 +12,10 @@ that product, which is never above that of its true k-th neighbour; one that fou
 
 ``fit`` measures c on a bounded sample (``SAMPLE`` vectors of the least hashed ids, ``ASKED`` of them as queries) and
 sets the number of projections so that a bucket holds about ``BUCKET`` vectors; the sample is taken after equal vectors
-are thinned, so common ones don't set c, and every vector is indexed. A bucket is dealt into parts of about ``CHUNK``
-vectors and its visitors into parts of ``CROWD`` queries, and each pair of parts meets in a task of its own. Of equal
-vectors only the ``k`` + 1 smallest ids can be among the nearest, so only these are indexed.
+are thinned, so common ones don't set c, and every vector is indexed. The buckets of a table share shards of about
+``SHARD`` vectors (a bucket with more is dealt over several), so a query's vector goes once to each shard, with the list
+of the buckets it visits there. A shard with more than ``CROWD`` visitors meets them in several tasks. Of equal vectors
+only the ``k`` + 1 smallest ids can be among the nearest, so only these are indexed.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither
 as queries nor as candidates. Ties go to the smaller id. Rows that repeat an id and a vector count once; an id with
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import checkpoint, importable
 
-TABLES, BUCKET, CHUNK, CROWD, WIDTH = 4, 32, 1024, 512, 2.0
+TABLES, BUCKET, SHARD, CROWD, WIDTH = 4, 32, 4096, 8192, 2.0
 #: Share of a wanted neighbour's chance that the visited buckets of all tables hold together.
-SUCCESS = 0.89
+SUCCESS = 0.92
 SAMPLE, ASKED = 4000, 200
 #: Candidates that a task holds before it keeps each query's best.
 HELD = 1_000_000
@@ -52,6 +53,7 @@ class Index:
     norm: float
     cosine: float
     projections: int
+    rows: int
 
     def family(self) -> tuple[np.ndarray, np.ndarray]:
         """Directions (table, component, projection) and offsets of the cells."""
@@ -66,8 +68,8 @@ def sound(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, k: int) -> DataFrame:
-    """vec_id and embedding (of doubles) of the vectors that take part."""
-    rows = importable(vectors).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
+    """vec_id and embedding of the vectors that take part."""
+    rows = importable(vectors).select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & sound(F.col("embedding").cast("array<double>")))
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("embedding") == (size.n if size else 0))
 
@@ -81,7 +83,7 @@ def distinct_enough(rows: DataFrame, k: int) -> DataFrame:
 
 def fit(rows: DataFrame, k: int) -> Index | None:
     """The index's parameters; None if there are no rows."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     known = rows.agg(F.count("*").alias("n"), F.max(norm).alias("norm")).first()
     if not known.n:
         return None
@@ -93,7 +95,7 @@ def fit(rows: DataFrame, k: int) -> Index | None:
     place = max(1, round(k * len(x) / known.n))
     wanted = -np.partition(-near, min(place, len(x) - 1) - (len(x) > place), axis=1)[:, min(place, len(x) - 1) - (len(x) > place)]
     cosine = float(np.clip(np.median(wanted), 0.0, 0.999))
-    return Index(x.shape[1], known.norm, cosine, max(2, round(math.log2(max(2, known.n / BUCKET)) / 1.5)))
+    return Index(x.shape[1], known.norm, cosine, max(2, round(math.log2(max(2, known.n / BUCKET)) / 1.5)), known.n)
 
 
 def _key(table: int, cells: np.ndarray) -> np.ndarray:
@@ -145,16 +147,19 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """(tab, bucket, vec_id, embedding) of each vector in each table."""
     _, offsets = index.family()
     for batch in batches:
         if batch.num_rows:
             y = _projected(_matrix(batch.column("embedding"), index.dimension), index, False)
             keys = np.concatenate([_key(t, np.floor((y[t] + offsets[t]) / WIDTH)) for t in range(TABLES)])
-            ids = np.tile(np.arange(batch.num_rows), TABLES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("vec_id").take(pa.array(ids)), batch.column("embedding").take(pa.array(ids))], ["bucket", "vec_id", "embedding"])
+            ids = pa.array(np.tile(np.arange(batch.num_rows), TABLES))
+            tables = pa.array(np.repeat(np.arange(TABLES, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([tables, pa.array(keys), batch.column("vec_id").take(ids), batch.column("embedding").take(ids)], ["tab", "bucket", "vec_id", "embedding"])
 
 
 def _probed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """(tab, bucket, vec_id) of the buckets that each query visits."""
     _, offsets = index.family()
     each = 1 - (1 - SUCCESS) ** (1 / TABLES)
     for batch in batches:
@@ -165,14 +170,14 @@ def _probed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
         least = batch.column("least").to_numpy(zero_copy_only=False) / np.linalg.norm(x, axis=1) / index.norm
         cosines = np.where(np.isnan(least), index.cosine, np.clip(least, 0.0, 0.999)).tolist()
         for at in range(0, batch.num_rows, 256):
-            keys, rows = [], []
+            tables, keys, rows = [], [], []
             for n in range(at, min(at + 256, batch.num_rows)):
                 for t in range(TABLES):
                     found = np.array(visits(y[t, n], offsets[t], cosines[n], each))
                     keys.append(_key(t, found))
+                    tables.append(np.full(len(found), t, np.int32))
                     rows.append(np.full(len(found), n))
-            rows = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("vec_id").take(rows), batch.column("embedding").take(rows)], ["bucket", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tables)), pa.array(np.concatenate(keys)), batch.column("vec_id").take(pa.array(np.concatenate(rows)))], ["tab", "bucket", "vec_id"])
 
 
 def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -192,26 +197,33 @@ def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
 def _ranked(batches: Iterator[pa.RecordBatch], dimension: int, k: int) -> Iterator[pa.RecordBatch]:
     """Each query's best candidates in this partition; rows come by part, the indexed vectors before the queries."""
     found: list = []
-    held, now, stored, ids, frozen = 0, None, [], [], None
-
-    def meet(asked: np.ndarray, names: np.ndarray) -> None:
-        nonlocal held, found, frozen
-        if frozen is None:
-            own = np.concatenate(ids)
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            frozen = np.concatenate(stored)[order], own, np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        x, own, starts = frozen
+    held, now, stored, shelf = 0, None, [], None
+
+    def meet(asked: np.ndarray, names: np.ndarray, lists: list[np.ndarray]) -> None:
+        nonlocal held, found, shelf
+        if shelf is None:
+            x, ids, buckets = (np.concatenate(c) for c in zip(*stored))
+            order = np.argsort(buckets, kind="stable")
+            x, ids, buckets = x[order], ids[order], buckets[order]
+            first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+            shelf = x, ids, buckets[first], first, np.r_[first[1:], len(ids)], len(ids) - len(np.unique(ids))
+        x, own, kinds, first, last, again = shelf
         for at in range(0, len(asked), 512):
-            q, who = asked[at : at + 512], names[at : at + 512]
-            near = q @ x.T
+            q, who, some = asked[at : at + 512], names[at : at + 512], lists[at : at + 512]
+            near = np.full((len(q), len(own)), -np.inf)
+            visited, row = np.concatenate(some), np.repeat(np.arange(len(some)), [len(v) for v in some])
+            order = np.argsort(visited, kind="stable")
+            visited, row = visited[order], row[order]
+            cuts = np.flatnonzero(np.r_[True, visited[1:] != visited[:-1]])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(visited)]):
+                place = np.searchsorted(kinds, visited[a])
+                if place < len(kinds) and kinds[place] == visited[a]:
+                    c, d = first[place], last[place]
+                    near[row[a:b], c:d] = q[row[a:b]] @ x[c:d].T
             near[who[:, None] == own[None, :]] = -np.inf
-            if len(starts) > k:
-                each = near if len(starts) == len(own) else np.maximum.reduceat(near, starts, axis=1)  # an id's best
-                least = np.partition(each, len(starts) - k, axis=1)[:, len(starts) - k]
-                a, b = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (near > -np.inf))
-            else:
-                a, b = np.nonzero(near > -np.inf)
+            most = k + again  # an id that repeats takes several places
+            least = np.partition(near, len(own) - most, axis=1)[:, len(own) - most] if len(own) > most else np.full(len(q), -np.inf)
+            a, b = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (near > -np.inf)) if len(own) > most else np.nonzero(near > -np.inf)
             exact = (q[a] * x[b]).sum(axis=1)
             found += _best([(who[a], own[b], exact)], k)
             held += len(found[-1][0])
@@ -224,16 +236,15 @@ def _ranked(batches: Iterator[pa.RecordBatch], dimension: int, k: int) -> Iterat
             continue
         part, kind, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "query", "vec_id"))
         x = _matrix(batch.column("embedding"), dimension)
+        ends, flat = batch.column("buckets").offsets.to_numpy(), batch.column("buckets").values.to_numpy()
         cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])]).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(part)]):
             if part[a] != now:
-                now, stored, ids, frozen = part[a], [], [], None
-            if kind[a]:
-                if stored:
-                    meet(x[a:b], names[a:b])
-            else:
-                stored.append(x[a:b])
-                ids.append(names[a:b])
+                now, stored, shelf = part[a], [], None
+            if not kind[a]:
+                stored.append((x[a:b], names[a:b], flat[ends[a] : ends[b]]))
+            elif stored:
+                meet(x[a:b], names[a:b], [flat[ends[i] : ends[i + 1]] for i in range(a, b)])
     if found:
         q, v, s = _best(found, k)[0]
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
@@ -247,38 +258,44 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     index = fit(kept, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    kind = "bucket long, vec_id long, embedding array<double>"
-    stored = checkpoint(kept.mapInArrow(partial(_hashed, index=index), kind))
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = stored.groupBy("bucket").agg(F.count("*").alias("n"))
+    vector = kept.schema["embedding"].dataType.simpleString()
+    stored = checkpoint(kept.mapInArrow(partial(_hashed, index=index), f"tab int, bucket long, vec_id long, embedding {vector}"))
+    asked = checkpoint(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    sizes = checkpoint(stored.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / SHARD).alias("parts")))
+    shards = -(-index.rows // SHARD)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def met(stored: DataFrame, visiting: DataFrame, sizes: DataFrame) -> DataFrame:
-        """The best of the vectors in the buckets that queries visit; ``sizes`` has the vectors n of each bucket."""
-        visitors = visiting.groupBy("bucket").agg(F.count("*").alias("m"))
-        dealt = sizes.join(visitors, "bucket").select("bucket", F.ceil(F.col("n") / CHUNK).alias("parts"), F.ceil(F.col("m") / CROWD).alias("crowds"))
-        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
-        row = lambda query: (F.xxhash64("bucket", "p", "c").alias("part"), F.lit(query).alias("query"), "vec_id", "embedding")
-        there = stored.join(dealt, "bucket").select("bucket", own("parts").alias("p"), upto("crowds").alias("c"), "vec_id", "embedding").select(*row(False))
-        here = visiting.join(dealt, "bucket").select("bucket", upto("parts").alias("p"), own("crowds").alias("c"), "vec_id", "embedding").select(*row(True))
-        both = there.unionByName(here).repartition("part").sortWithinPartitions("part", "query")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    shard = F.xxhash64("tab", F.pmod(F.xxhash64("bucket", "p"), F.lit(shards))).alias("shard")
+
+    def met(there: DataFrame, here: DataFrame) -> DataFrame:
+        """The best that queries (shard, vec_id, buckets) find among vectors (shard, bucket, vec_id, embedding)."""
+        crowds = here.groupBy("shard").agg(F.ceil(F.count("*") / CROWD).alias("crowds"))
+        part = F.xxhash64("shard", "c").alias("part")
+        there = there.join(crowds, "shard").select("shard", upto(F.col("crowds")).alias("c"), "vec_id", "embedding", F.array("bucket").alias("buckets"))
+        here = here.join(crowds, "shard").join(asked, "vec_id").select("shard", F.pmod(F.xxhash64("vec_id"), "crowds").alias("c"), "vec_id", "embedding", "buckets")
+        both = [x.select(part, F.lit(query).alias("query"), "vec_id", "embedding", "buckets") for query, x in enumerate((there, here))]
+        both = both[0].unionByName(both[1]).repartition("part").sortWithinPartitions("part", "query")
         found = both.mapInArrow(partial(_ranked, dimension=index.dimension, k=k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+    large = sizes.where("parts > 1")
+    p = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("parts")), F.lit(0)).alias("p")
+    shelved = stored.join(large, ["tab", "bucket"], "left").select("tab", "bucket", p, "vec_id", "embedding").select(shard, "bucket", "vec_id", "embedding")
+
     def probed(queries: DataFrame) -> DataFrame:
-        visiting = queries.mapInArrow(partial(_probed, index=index), kind)
-        return checkpoint(visiting.join(sizes.select("bucket"), "bucket", "left_semi"))
+        visiting = queries.mapInArrow(partial(_probed, index=index), "tab int, bucket long, vec_id long").join(sizes, ["tab", "bucket"])
+        visiting = visiting.select("tab", "bucket", "vec_id", upto(F.col("parts")).alias("p")).select(shard, "vec_id", "bucket")
+        return checkpoint(visiting.groupBy("shard", "vec_id").agg(F.collect_set("bucket").alias("buckets")))
 
-    first = checkpoint(met(stored, probed(asked.withColumn("least", F.lit(None).cast("double"))), sizes))
+    first = checkpoint(met(shelved, probed(asked.withColumn("least", F.lit(None).cast("double")))))
     reached = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
     again = asked.join(reached, "vec_id", "left")
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    length = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     wider = again.where((F.col("n") == k) & (F.col("least") < index.cosine * index.norm * length)).select("vec_id", "embedding", "least")
-    found = first.drop("rank").unionByName(met(stored, probed(wider), sizes).drop("rank"))
+    found = first.drop("rank").unionByName(met(shelved, probed(wider)).drop("rank"))
     # queries with too few candidates are held against all vectors, in blocks
-    short = again.where(F.coalesce("n", F.lit(0)) < k).select(F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding")
-    blocks = kept.select(F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding")
-    found = found.unionByName(met(blocks, short, kept.groupBy(F.lit(0).cast("long").alias("bucket")).agg(F.count("*").alias("n"))).drop("rank"))
+    short = again.where(F.coalesce("n", F.lit(0)) < k).select("vec_id", upto(F.lit(shards)).alias("shard"), F.array(F.lit(0).cast("long")).alias("buckets"))
+    blocks = kept.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long").alias("shard"), F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding")
+    found = found.unionByName(met(blocks, short).drop("rank"))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,7 +41,8 @@ def test_recall_and_scores(spark, scaled):
 
 
 def test_hot_vector_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CHUNK", 50)
+    monkeypatch.setattr(ann, "SHARD", 50)
+    monkeypatch.setattr(ann, "CROWD", 7)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 8)).astype(np.float32).astype(float)
     x[::3] = x[0]
@@ -112,7 +113,7 @@ def share_scored(x, ids, asked):
     near = x[:200] @ x.T / np.linalg.norm(x[:200], axis=1)[:, None]
     np.fill_diagonal(near[:, :200], -1)
     cosine = float(np.median(-np.partition(-near, 19, axis=1)[:, 19]))
-    index = ann.Index(x.shape[1], float(np.linalg.norm(x, axis=1).max()), cosine, max(2, round(math.log2(max(2, known / ann.BUCKET)) / 1.5)))
+    index = ann.Index(x.shape[1], float(np.linalg.norm(x, axis=1).max()), cosine, max(2, round(math.log2(max(2, known / ann.BUCKET)) / 1.5)), known)
     _, offsets = index.family()
     y, yq = ann._projected(x, index, False), ann._projected(x[asked], index, True)
     seen = np.zeros((len(asked), known), bool)
