@@ -2,8 +2,9 @@
 
 Two mergers share one vocabulary reader: ``count_symbols`` (heap and linked list; yields a count, no identifiers)
 and ``encode_symbols`` (segment tree over adjacent pair ranks). Both are memoised by white-space-delimited chunk in
-each Python worker, as chunks repeat; the memo is emptied when it reaches ``MEMO`` entries, so memory stays bounded.
-A piece of n symbols costs O(n log n) by either merger.
+each Python worker, as chunks repeat. Chunks over ``SHORT`` characters aren't kept, and the memo is emptied when what it
+keeps reaches about ``MEMO`` bytes, so memory stays bounded for any script. A piece of n symbols costs O(n log n) by
+either merger.
 
 Nulls count as empty texts; an empty text has no tokens. Repeated rows give repeated results. Columns other than the
 key and the text are not read, so they can't clash.
@@ -25,17 +26,19 @@ from pyspark.sql import DataFrame
 
 from driftline.llm.common import alone, only, sliced, texts
 
-#: Entries that a worker keeps before it starts its memo anew.
-MEMO = 700_000
+#: Bytes, about, that a worker keeps before it starts its memo anew; what an entry takes besides its characters; longest chunk kept.
+MEMO, ENTRY, SHORT = 250_000_000, 300, 64
 #: Pairs below one node of the segment tree.
 FAN = 16
-NONE = 1 << 96
+NONE, LAST = 1 << 96, (1 << 30) - 1
 #: The white space of the vocabulary files' patterns (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Python's splitters also take these for white space.
 ODD = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPLIT = re.compile(rf"[{SPACE}]+")
+#: White space other than single blanks and single line feeds apart from each other.
+UNEVEN = re.compile(rf"[{SPACE.replace(' ', '').replace(chr(10), '')}]| [ \n]|\n ")
 
 
 def byte_symbols() -> list[str]:
@@ -63,7 +66,7 @@ class Vocabulary:
         vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.pattern, self.invert = self._pattern(spec["pre_tokenizer"])
-        self.normalises = spec.get("normalizer") is not None
+        self.normalises = self._normaliser(spec.get("normalizer"))
         symbols = byte_symbols()
         self.first = [vocab.get(s) for s in symbols]
         self.last = [vocab.get(s + self.suffix) for s in symbols] if self.suffix else self.first
@@ -83,6 +86,14 @@ class Vocabulary:
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.markers = sorted({s[:2] for s in self.special})
 
+    @staticmethod
+    def _normaliser(spec: dict | None) -> bool:
+        """Whether texts are normalised: by NFC, white space to a blank and lower case; anything else isn't supported."""
+        kinds = [] if spec is None else [x["type"] for x in spec.get("normalizers", [spec])]
+        if kinds and kinds not in (["NFC", "Replace", "Lowercase"], ["NFC", "Lowercase"]):
+            raise ValueError(f"normalizer {kinds} isn't supported")
+        return bool(kinds)
+
     @staticmethod
     def _pattern(spec: dict) -> tuple[regex.Pattern, bool]:
         parts = spec.get("pretokenizers", [spec])
@@ -165,12 +176,25 @@ def encode_symbols(symbols: list[int], vocabulary: Vocabulary) -> list[int]:
     """The ids after all merges, by a segment tree of minima over the adjacent pairs.
 
     A leaf holds the pair's rank and place, so the root is the leftmost pair of the lowest rank; a merge sets up to
-    three leaves and then the nodes above them, each the least of its ``FAN`` children, until no pair can merge.
+    three leaves and then the nodes above them, each the least of its ``FAN`` children, until no pair can merge. A piece
+    of few symbols is a root and its leaves only, so the leaves are closed up after a merge and hold just ranks.
     """
     n = len(symbols)
     if n < 2:
         return symbols
     get, merged, bits = vocabulary.ranks.get, vocabulary.merged, n.bit_length()
+    if n <= FAN + 1:
+        symbols = symbols[:]
+        leaves = [get(a << 20 | b, LAST) for a, b in zip(symbols, symbols[1:])]
+        while leaves and (root := min(leaves)) != LAST:
+            i = leaves.index(root)
+            s = symbols[i] = merged[root]
+            del symbols[i + 1], leaves[i]
+            if i < len(leaves):
+                leaves[i] = get(s << 20 | symbols[i + 1], LAST)
+            if i:
+                leaves[i - 1] = get(symbols[i - 1] << 20 | s, LAST)
+        return symbols
     low, i = (1 << bits) - 1, -1
     leaves = [NONE if (r := get(a << 20 | b)) is None else r << bits | i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
     above = []
@@ -207,18 +231,35 @@ def encode_symbols(symbols: list[int], vocabulary: Vocabulary) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
-class Counter(dict):
-    """Chunk to its number of tokens."""
+class Memo(dict):
+    """Chunk to what was found for it, kept within bounds; ``found`` says what that is, and its bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.room = vocabulary, MEMO
+
+    def clear(self) -> None:
+        super().clear()
+        self.room = MEMO
+
+    def __missing__(self, chunk: str):
+        out, size = self.found(chunk)
+        if len(chunk) <= SHORT:
+            self.room -= ENTRY + size
+            if self.room < 0:
+                self.clear()
+            self[chunk] = out
+        return out
 
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
+
+class Counter(Memo):
+    """Chunk to its number of tokens."""
+
+    def found(self, chunk: str) -> tuple[int, int]:
         v = self.vocabulary
-        out = self[chunk] = sum(count_symbols(v.symbols(p), v) for p in v.pattern.findall(chunk))
-        return out
+        pieces = v.pattern.findall(chunk)
+        if len(pieces) > 1:  # pieces repeat more than chunks, so they are kept too
+            return sum(map(self.__getitem__, pieces)), 2 * len(chunk)
+        return sum(count_symbols(v.symbols(p), v) for p in pieces), 2 * len(chunk)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
@@ -236,34 +277,65 @@ class Counter(dict):
         return total
 
 
-class Encoder(dict):
+Encoded = tuple[int, str, bytes]
+
+
+class Encoder(Memo):
     """Chunk to (number of tokens, ids as text, bytes that they decode to)."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        super().__init__(vocabulary)
+        self.after_blank = AfterBlank(self)
 
-    def __missing__(self, chunk: str) -> tuple[int, str, bytes]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self.ids(chunk)
-        out = self[chunk] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
-        return out
+    def clear(self) -> None:
+        super().clear()
+        self.after_blank.clear()
 
-    def ids(self, chunk: str) -> list[int]:
+    def found(self, chunk: str) -> tuple[Encoded, int]:
         v = self.vocabulary
-        return [i for p in v.pattern.findall(chunk) for i in encode_symbols(v.symbols(p), v)]
+        pieces = v.pattern.findall(chunk)
+        if len(pieces) > 1:  # pieces repeat more than chunks, so they are kept too
+            n, ids, data = zip(*map(self.__getitem__, pieces))
+            out = sum(n), ",".join(ids), b"".join(data)
+        else:
+            found = [i for p in pieces for i in encode_symbols(v.symbols(p), v)]
+            out = len(found), ",".join(map(str, found)), self.decode(found)
+        return out, 2 * len(chunk) + len(out[1]) + len(out[2])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
-    def encode(self, text: str) -> list[tuple[int, str, bytes]]:
+    def encode(self, text: str) -> list[Encoded]:
         v, out = self.vocabulary, []
         for part, special in v.parts(text):
             if special:
                 i = v.special[part]
                 out.append((1, str(i), v.bytes_of[i]))
-            else:
-                out += map(self.__getitem__, CHUNKS.findall(v.normalise(part)))
+            elif UNEVEN.search(part := v.normalise(part)) or not part:
+                out += map(self.__getitem__, CHUNKS.findall(part))
+            else:  # cut at each blank: the pieces on both sides of it don't depend on each other
+                first, *rest = part.split(" ")
+                if first:
+                    out.append(self[first])
+                out += map(self.after_blank.__getitem__, rest)
+        return out
+
+
+class AfterBlank(dict):
+    """What an encoder finds for a blank and a word, by the word; it shares the encoder's bound."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> Encoded:
+        e, chunk = self.encoder, " " + word
+        if len(chunk) > SHORT:
+            return e[chunk]
+        out, size = e.found(chunk)
+        e.room -= ENTRY + size
+        if e.room < 0:
+            e.clear()
+        self[word] = out
         return out
 
 
@@ -297,10 +369,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Iterato
     for batch in sliced(batches):
         columns: list[list] = [[], [], [], []]
         for text in texts(batch):
-            found = own.encode(text)
-            ids, data = ",".join([x[1] for x in found]), b"".join([x[2] for x in found])
-            decoded = data.decode("utf-8", "replace")
-            columns[0].append(sum([x[0] for x in found]))
+            n, ids, data = zip(*own.encode(text)) if text else ((), (), ())
+            ids, decoded = ",".join(ids), b"".join(data).decode("utf-8", "replace")
+            columns[0].append(sum(n))
             columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
             columns[2].append(hashlib.sha256(decoded.encode()).hexdigest())
             if full:
