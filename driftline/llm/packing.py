@@ -7,26 +7,33 @@ carries its ids and the position of each id in its piece (which starts at 0 agai
 binary, the cumulative piece lengths, and the document and offset of each piece. Blocks are packed where they are read:
 no shuffle, and a task holds one block.
 
-Null and empty texts have no tokens and so no piece. Rows that repeat are packed each. Columns other than the key and
+A text with a run of 256 or more white-space characters is cut at the pattern's own boundaries first and encoded piece
+by piece, as the encoder's pattern matcher can't bear such runs; its ids are the same. Null and empty texts have no
+tokens and so no piece. Rows that repeat are packed each. Columns other than the key and
 the text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from driftline.llm.common import only, texts
+from driftline.llm.bpe import SPACE
+from driftline.llm.common import alone, only, texts
 
 LENGTH = 2048
 BLOCK = 4_000_000
+#: A run that the encoder isn't given.
+RUN = re.compile(rf"[{SPACE}]{{256}}")
 SCHEMA = "row_id long, n_tokens int, n_pieces int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<int>"
 
 
@@ -37,6 +44,18 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def splitter(pattern: str) -> regex.Pattern:
+    """The encoder's pattern; what it takes for white space is spelled out."""
+    return regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+
+
+def ids_of(own: tiktoken.Encoding, pattern: str, text: str) -> list[int]:
+    if not RUN.search(text):
+        return own.encode_ordinary(text)
+    return [i for piece in splitter(pattern).findall(text) for i in own._encode_single_piece(piece)]
+
+
 class Rooms:
     """Open rows by the room they have left: a segment tree of counts over 0..length."""
 
@@ -104,6 +123,7 @@ def _rows(pieces: list[tuple[int | None, int, np.ndarray]], length: int, pad: in
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, length: int, block: int) -> Iterator[pa.RecordBatch]:
+    alone()
     own = encoding(path, pattern)
     pad = own.n_vocab
     kind, first = "<u2" if pad < 1 << 16 else "<u4", TaskContext.get().partitionId() << 40
@@ -111,7 +131,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, length: in
     held = 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            ids = np.array(own.encode_ordinary(text), kind)
+            ids = np.array(ids_of(own, pattern, text), kind)
             pieces += [(doc_id, k, ids[k : k + length]) for k in range(0, len(ids), length)]
             held += len(ids)
             if held >= block:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -46,3 +47,40 @@ def test_both_mergers_agree():
     for n in (1, 2, 3, 4, 5, 8, 9, 16, 17, 40, 300):
         symbols = v.symbols("".join(rng.choice("aentio rsh") for _ in range(n)))
         assert len(bpe.encode_symbols(symbols, v)) == bpe.count_symbols(symbols, v)
+
+
+def sha(x: str) -> str:
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_queries_equal_the_library_through_spark(spark):
+    rows = [(i, t, "x", i, 1.0) for i, t in enumerate(samples()[:300])] + [(7, None, "x", 0, 1.0), (None, "ab ab", "x", 0, 1.0), (7, "ab", "x", 0, 1.0), (7, "ab", "x", 0, 1.0), (9000, "é" * 40_000 + " x" * 1500, "x", 0, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens long, `a.b` double").repartition(3)
+    key = lambda x: tuple((v is None, v) for v in x)
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    counts, codes = [], []
+    for i, t, *_ in rows:
+        n = len(word.encode(t or "", add_special_tokens=False).ids)
+        counts.append((i, len((t or "").encode()), n, n > 2048))
+        ids = byte.encode(t or "", add_special_tokens=False).ids
+        codes.append((i, len(ids), sha(",".join(map(str, ids))), sha(byte.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, bpe.token_counts(docs, WORD).collect()), key=key) == sorted(counts, key=key)
+    assert sorted(map(tuple, bpe.encode(docs, BYTE, full=False).collect()), key=key) == sorted(codes, key=key)
+    full = bpe.encode(docs.where("doc_id < 100"), BYTE)
+    assert {(r.doc_id, r.text) for r in bpe.decode(full, BYTE).collect()} == {(i, t or "") for i, t, *_ in rows if i is not None and i < 100}
+    assert bpe.token_counts(docs.limit(0), WORD).count() == bpe.encode(docs.limit(0), BYTE).count() == 0
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 20_000)
+    t, own, counts = Tokenizer.from_file(BYTE), bpe.Encoder(bpe.Vocabulary(BYTE)), bpe.Counter(bpe.Vocabulary(WORD))
+    for x in samples()[:400] + ["日本語" * 5000]:
+        assert [int(i) for f in own.encode(x) for i in f[1].split(",")] == t.encode(x, add_special_tokens=False).ids
+        counts.count(x)
+        for memo in (own, own.after_blank, counts):
+            assert len(memo) * bpe.ENTRY <= 20_000 and all(len(c) <= bpe.SHORT for c in memo)
+
+
+def test_other_normalisers_are_refused():
+    with pytest.raises(ValueError, match="supported"):
+        bpe.Vocabulary._normaliser({"type": "NFKC"})

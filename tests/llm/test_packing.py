@@ -55,3 +55,32 @@ def test_round_trip(spark):
         assert set(np.frombuffer(r.ids, "<u2")[r.n_tokens :].tolist()) <= {own.n_vocab}
     assert len(ids) == packed.count()
     assert packing.pack(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_runs_are_encoded_alike():
+    own = packing.encoding(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice([" " * 260, "\n" * 3, "\u3000 ", "ab", " c", "'s", "é", "12", "!?", "\x1c", "\x85"]) for _ in range(rng.randrange(1, 9)))
+        assert packing.ids_of(own, public_tokenizers.PATTERN, text + " " * 300 + "x") == own.encode_ordinary(text + " " * 300 + "x")
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "\n \t" * 300_000 + "x", "!" * 1_000_000])
+def test_very_long_runs(text):
+    own = packing.encoding(RANKS, public_tokenizers.PATTERN)
+    ids = packing.ids_of(own, public_tokenizers.PATTERN, text)
+    assert own.decode(ids) == text
+
+
+def test_written_rows_clashing_columns_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b", 0, "x", 1.0), (1, "a b", 0, "x", 1.0), (None, "c " * 400, 0, "y", 2.0), (2, " " * 5000, 0, "z", 3.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id int, ids string, `a.b` double")
+    packed = packing.pack(docs, RANKS, public_tokenizers.PATTERN, length=64)
+    packing.write(packed, f"file://{tmp_path}/p")
+    again = spark.read.parquet(f"file://{tmp_path}/p")
+    own, got = packing.encoding(RANKS, public_tokenizers.PATTERN), {}
+    for r in packing.unpack(again, 64).collect():
+        got.setdefault(r.doc_id, []).append((r.offset, r.ids))
+    assert got[1] == [(0, own.encode_ordinary("a b"))] * 2
+    for i, text in ((None, "c " * 400), (2, " " * 5000)):
+        assert [x for _, ids in sorted(got[i]) for x in ids] == packing.ids_of(own, public_tokenizers.PATTERN, text)
