@@ -49,7 +49,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(k, rows)
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 

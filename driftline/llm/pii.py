@@ -1,13 +1,15 @@
 """Personal data: base patterns, and a character BiLSTM-CRF that adds what they miss.
 
 Base spans of each kind are leftmost and don't overlap within the kind; they always stay. The tagger is trained in
-numpy from ``EXAMPLES`` labelled spans that ``labelled`` writes out (base forms, and forms such as bracketed "at",
-dotted cards and phone numbers without a country code, among plain numbers, dates and tokens that are nothing). Every
-stretch of a text that has four digits close together, an at sign or a bracketed "at" is cut into overlapping windows;
-elsewhere none of the kinds can be. Each window is decoded by Viterbi search; a span that a window's border cuts is
-left to the next window, and the spans of all windows of a text are reconciled by weighted interval scheduling, so the
-result doesn't depend on where windows begin. An added span must hold enough digits (and pass the Luhn test for cards,
-the range test for addresses) and may not touch a base span.
+numpy on ``EXAMPLES`` texts that ``labelled`` writes out: base forms, and forms such as bracketed "at", dotted cards and
+phone numbers without a country code, with their spans, among plain numbers, dates and tokens that are nothing, and
+among passages without personal data from a bounded sample of the corpus itself (``BACKGROUND`` documents). Every
+stretch of a text that has four digits close together, an at sign or a bracketed "at" is decoded, whole or, if it is
+long, in overlapping windows; elsewhere none of the kinds can be. A span that a window's border cuts is left to the next
+window, whose overlap holds spans of up to ``WINDOW`` / 2 characters, and the spans of all windows of a text are
+reconciled by weighted interval scheduling. Padding takes no part in decoding. The decoded ends stand, but that they
+cut no word and leave out blanks and stops around them; an added span must look like its kind, hold enough digits (and pass the Luhn test for cards, the
+range test for addresses) and may not touch a base span.
 
 Nulls count as empty texts, which have no spans. Positions are code points, ends exclusive. Work is linear in a text's
 length. Repeated rows give repeated results; only the key and the text are read.
@@ -25,14 +27,18 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from driftline.llm.common import alone, importable, only, sliced, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, of its context around a trigger, and windows decoded at once.
-WINDOW, REACH, BATCH = 128, 40, 256
+WINDOW, REACH, BATCH = 512, 128, 128
 #: Labelled examples, their length and passes over them.
-EXAMPLES, LENGTH, EPOCHS = 1600, 96, 12
+EXAMPLES, LENGTH, EPOCHS = 1600, 128, 12
+#: Documents whose passages stand between labelled spans, and the characters of each.
+BACKGROUND, PASSAGE = 64, 4000
 EMBED, HIDDEN = 12, 20
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -122,8 +128,8 @@ def classes(text: str) -> np.ndarray:
     return np.where(points < 128, CLASSES[np.minimum(points, 127)], 1)
 
 
-def labelled(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Texts with their labelled spans."""
+def labelled(seed: int, n: int, background: tuple[str, ...] = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with their labelled spans; passages of the background stand among them where it has no base spans."""
     rng = random.Random(seed)
     syllables = "the an er on in re nd ou ed ha ti es la de le que ción mente der ein ung ich lich aux eau ré è ö ü ß ñ st ing".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
@@ -131,10 +137,10 @@ def labelled(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     ascii_word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
 
     def email() -> str:
-        local = rng.choice([ascii_word(), f"{ascii_word()}.{ascii_word()}", f"{ascii_word()}{number(2)}", f"{ascii_word()}_{number(1)}"])
+        local = rng.choice([ascii_word(), f"{ascii_word()}.{ascii_word()}", f"{ascii_word()}{number(2)}", f"{ascii_word()}_{number(1)}", ascii_word(), ".".join(ascii_word() + ascii_word() for _ in range(rng.randrange(3, 7)))])
         at = rng.choice(["@", "@", "@", " (at) ", "(at)", " [at] ", "[at]", " @ ", " {at} "])
         dot = "." if at == "@" or rng.random() < 0.5 else rng.choice([" (dot) ", "[dot]", " [dot] ", " . "])
-        return local + at + rng.choice([ascii_word() + number(1), ascii_word()]) + dot + rng.choice(["com", "org", "net", f"example{dot}com"])
+        return local + at + rng.choice([ascii_word() + number(1), ascii_word(), f"mail{dot}{ascii_word()}"]) + dot + rng.choice(["com", "org", "net", f"example{dot}com"])
 
     def card() -> str:
         body = rng.choice("3456") + number(rng.choice([14, 14, 14, 13, 12]))
@@ -146,6 +152,12 @@ def labelled(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         a, b, c = number(3), number(3), number(4)
         return rng.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{number(2)} {number(2)} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"00{number(2)} {a} {b} {c}"])
 
+    def passage() -> str:
+        whole = rng.choice(background)
+        a = rng.randrange(max(1, len(whole)))
+        b = a + rng.randrange(3, 40)
+        return "" if any(base_spans(whole[max(0, a - REACH) : b + REACH]).values()) else whole[a:b].strip()
+
     make = {"email": email, "ip": lambda: rng.choice([".", ".", ".", " . ", "[.]"]).join(str(rng.randrange(256)) for _ in range(4)), "card": card, "phone": phone}
     nothing = [lambda: number(rng.randrange(1, 9)), lambda: f"20{number(2)}-0{number(1)}-1{number(1)}", lambda: f"{number(2)}.{number(2)}", lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: f"{number(1)},{number(3)},{number(3)}", lambda: f"@{ascii_word()}", lambda: f"{number(2)}:{number(2)}", lambda: "(at)", lambda: number(20 + rng.randrange(20))]
     out = []
@@ -161,6 +173,8 @@ def labelled(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
                     text += value
             elif x < 0.25:
                 text += rng.choice(nothing)()
+            elif background and rng.random() < 0.4:
+                text += passage()
             else:
                 text += word() if rng.random() < 0.9 else word().upper()
             text += rng.choice([" "] * 8 + [", ", ". ", "\n", "!! ", "; ", " | "])
@@ -259,10 +273,10 @@ def _crf(emit: np.ndarray, move: np.ndarray, gold: np.ndarray) -> tuple[np.ndarr
 
 
 @lru_cache(maxsize=2)
-def train(seed: int = 7, examples: int = EXAMPLES, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
+def train(seed: int = 7, background: tuple[str, ...] = (), examples: int = EXAMPLES, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
     """The tagger's weights, by Adam on mini-batches; the same seed gives the same weights."""
     rng = np.random.default_rng(seed)
-    made = labelled(seed, examples)
+    made = labelled(seed, examples, background)
     x = np.stack([classes(t) for t, _ in made]).T
     y = np.stack([_tags(LENGTH, s) for _, s in made]).T
     k, width = len(TAGS), EMBED + HIDDEN
@@ -299,22 +313,24 @@ def train(seed: int = 7, examples: int = EXAMPLES, epochs: int = EPOCHS) -> dict
 
 
 def decode(p: dict[str, np.ndarray], windows: list[str]) -> list[list[tuple[int, int, str, float]]]:
-    """Spans (start, end, kind, score) of each window by Viterbi search; all windows at once, padded to the longest."""
-    longest = max(map(len, windows))
-    ids = np.zeros((longest, len(windows)), np.int16)
+    """Spans (start, end, kind, score) of each window by Viterbi search; all windows at once, none seeing what pads it."""
+    sizes = np.array([len(w) for w in windows])
+    longest, at = int(sizes.max()), np.arange(len(windows))
+    ids, turned = np.zeros((longest, len(windows)), np.int16), np.zeros((longest, len(windows)), np.int16)
     for k, w in enumerate(windows):
         ids[: len(w), k] = classes(w)
-    fed = p["embed"][ids]
-    emit = np.concatenate([_lstm(fed, p["w0"], p["b0"]), _lstm(fed[::-1], p["w1"], p["b1"])[::-1]], axis=2) @ p["out"] + p["bias"]
-    move, best, back = p["move"] + FORBIDDEN, emit[0], []
+        turned[: len(w), k] = ids[: len(w), k][::-1]
+    back = _lstm(p["embed"][turned], p["w1"], p["b1"])[np.maximum(sizes[None, :] - 1 - np.arange(longest)[:, None], 0), at]
+    emit = np.concatenate([_lstm(p["embed"][ids], p["w0"], p["b0"]), back], axis=2) @ p["out"] + p["bias"]
+    move, best, came = p["move"] + FORBIDDEN, emit[0], []
     for k in range(1, longest):
-        paths = best[:, :, None] + move
-        back.append(paths.argmax(axis=1))
-        best = paths.max(axis=1) + emit[k]
+        paths, inside = best[:, :, None] + move, (k < sizes)[:, None]
+        came.append(np.where(inside, paths.argmax(axis=1), np.arange(len(TAGS))))
+        best = np.where(inside, paths.max(axis=1) + emit[k], best)
     tags = np.empty((longest, len(windows)), np.int64)
     tags[-1] = best.argmax(axis=1)
     for k in range(longest - 2, -1, -1):
-        tags[k] = back[k][np.arange(len(windows)), tags[k + 1]]
+        tags[k] = came[k][at, tags[k + 1]]
     out = []
     for k, w in enumerate(windows):
         own, spans, start = tags[: len(w), k], [], None
@@ -336,7 +352,7 @@ def windows_of(text: str) -> list[tuple[int, int]]:
             stretches[-1][1] = max(b, stretches[-1][1])
         else:
             stretches.append([a, b])
-    return [(s, min(b, s + WINDOW)) for a, b in stretches for s in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
+    return [(s, min(b, s + WINDOW)) for a, b in stretches for s in (range(a, b - WINDOW // 2, WINDOW // 2) if b - a > WINDOW else (a,))]
 
 
 #: What an added span may look like; a dot with spaces has them on both sides.
@@ -348,13 +364,21 @@ LOOSE = {
 }
 
 
-def anchored(kind: str, text: str, a: int, b: int) -> Span | None:
-    """The tagger's span moved to the ends of the loose match that it touches, or as it is if that fits; None if neither does."""
-    low = max(0, a - WINDOW)
-    for m in LOOSE[kind].finditer(text[low : b + WINDOW]):
-        if m.start() + low < b and a < m.end() + low and fits(kind, m[0]):
-            return m.start() + low, m.end() + low
-    return (a, b) if fits(kind, text[a:b]) else None
+RUNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+EDGES = frozenset(" \n\t.,;:!?|*")
+
+
+def trimmed(text: str, a: int, b: int) -> Span:
+    """A span that cuts no run of letters and digits (with what an address may hold between them), without blanks and stops at its ends."""
+    while a > 0 and text[a - 1] in RUNS and text[a] in RUNS:
+        a -= 1
+    while b < len(text) and text[b - 1] in RUNS and text[b] in RUNS:
+        b += 1
+    while a < b and text[a] in EDGES:
+        a += 1
+    while a < b and text[b - 1] in EDGES:
+        b -= 1
+    return a, b
 
 
 def fits(kind: str, value: str) -> bool:
@@ -404,8 +428,9 @@ def find(p: dict[str, np.ndarray], rows: list[str]) -> list[tuple[dict[str, list
             for s, e, kind, score in spans:
                 if e - s < 3 or (s == 0 and a > 0) or (e == b - a and b < len(rows[k])):
                     continue  # cut by the window's border
-                if at_ends := anchored(kind, rows[k], a + s, a + e):
-                    found.setdefault(k, []).append((*at_ends, kind, score))
+                c, d = trimmed(rows[k], a + s, a + e)
+                if fits(kind, rows[k][c:d]):
+                    found.setdefault(k, []).append((c, d, kind, score))
     out = []
     for k, text in enumerate(rows):
         base = base_spans(text)
@@ -440,24 +465,34 @@ def _scan(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray]) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([listed(whole) for _, whole in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
 
+def background(docs: DataFrame) -> tuple[str, ...]:
+    """The beginnings of ``BACKGROUND`` documents, those of the least hashed ids and texts."""
+    rows = docs.select(F.substring("text", 1, PASSAGE).alias("t"), F.xxhash64("doc_id").alias("h")).where("length(t) >= 80")
+    return tuple(r.t for r in rows.orderBy("h", "t").limit(BACKGROUND).collect())
+
+
 def scan(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, base spans by kind (counts and a digest) and all spans of each row."""
-    return only(docs, "doc_id", "text").mapInArrow(partial(_scan, p=train(seed)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return only(docs, "doc_id", "text").mapInArrow(partial(_scan, p=train(seed, background(docs))), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def _redact(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _redact(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray], place: int, counted: int | None) -> Iterator[pa.RecordBatch]:
     alone()
     for batch in sliced(batches):
-        rows = batch.column("text").to_pylist()
+        rows, columns = batch.column(place).to_pylist(), list(batch.columns)
         found = find(p, ["" if x is None else x for x in rows])
         clean = [x if x is None else redacted(x, whole) for x, (_, whole) in zip(rows, found)]
-        columns = {n: batch.column(n) for n in batch.schema.names}
-        columns["text"] = pa.array(clean, pa.string())
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([n if x is None else len(x) for x, n in zip(clean, columns["n_chars"].to_pylist())], pa.int64())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        columns[place] = pa.array(clean, pa.string())
+        if counted is not None:
+            n = columns[counted]
+            columns[counted] = pa.array([old if x is None else len(x) for x, old in zip(clean, n.to_pylist())], n.type)
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
 def redact(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The same rows and columns, all spans in their texts replaced by marks such as [EMAIL], and n_chars to match."""
-    return importable(docs).mapInArrow(partial(_redact, p=train(seed)), docs.schema)
+    whole = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    counted = isinstance(whole, (IntegerType, LongType))
+    made = partial(_redact, p=train(seed, background(docs)), place=docs.columns.index("text"), counted=docs.columns.index("n_chars") if counted else None)
+    plain = importable(docs).toDF(*(f"c{k}" for k in range(len(docs.columns))))  # columns of any name pass
+    return plain.mapInArrow(made, plain.schema).toDF(*docs.columns)

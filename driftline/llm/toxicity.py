@@ -8,7 +8,8 @@ alone doesn't raise a score. The intercept is set to the share of toxic rows amo
 
 The score depends on the text alone. Null texts count as empty; an empty text scores the prior. With no labelled rows,
 or only one class of them, every score is that prior (0 without labels). Repeated rows score alike. Labels other than
-0 and 1 are left out.
+0 and 1 are left out, as are those of an id that has both. Of documents that repeat an id, the one of the least text hash
+is learnt from, so repeats don't add to what reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from driftline.llm.common import alone, importable, only, sliced, texts
 
@@ -145,14 +147,16 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float = FAIR) -> Model:
     """Learns from the labelled rows that aren't held out; at most ``sample`` of each class reach the driver, as features."""
-    learnt = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    learnt = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    learnt = learnt.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
     counts = {r.toxic: r["count"] for r in learnt.groupBy("toxic").count().collect()}
     total, bad = sum(counts.values()), counts.get(1, 0)
     if not total:
         return Model(-700.0)
     chosen = [learnt.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 x sample rows at most
-    found = rows.select("text", "toxic").mapInArrow(_examples, "toxic int, own binary, other binary").collect()
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 x sample ids at most
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.md5("text").alias("digest"), "text")).alias("one"))
+    found = rows.select("one.text", "toxic").mapInArrow(_examples, "toxic int, own binary, other binary").collect()
     found.sort(key=lambda r: (r.toxic, bytes(r.own)))  # so that the sums don't depend on the order of rows
     unpack = lambda x: None if x is None else np.frombuffer(x, np.int32)
     return fit(np.array([r.toxic for r in found], np.float64), [unpack(r.own) for r in found], [unpack(r.other) for r in found], bad / total, fair)
@@ -176,26 +180,26 @@ def memo(bias: float, weights: tuple[tuple[int, float], ...]) -> Memo:
     return Memo(dict(weights))
 
 
-def _score(batches: Iterator[pa.RecordBatch], bias: float, weights: tuple[tuple[int, float], ...]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], bias: float, weights: tuple[tuple[int, float], ...], place: int) -> Iterator[pa.RecordBatch]:
     own = memo(bias, weights)
     alone(own)
     for batch in sliced(batches):
         scores = []
-        for text in texts(batch):
+        for text in texts(batch, place):
             found: set[int] = set()
             for c in set(text.lower().split()):
                 if x := own[c]:
                     found.update(x)
             scores.append(probability(bias + sum(own.weights[p] for p in sorted(found))))
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "score"} | {"score": pa.array(scores, pa.float64())}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with their score, a column of that name being replaced."""
-    docs = importable(docs).drop("score")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(partial(_score, bias=model.bias, weights=tuple(sorted(model.weights.items()))), f"{names}, score double")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows with their score, in a column of this name, which they may not have yet."""
+    plain = importable(docs).toDF(*(f"c{k}" for k in range(len(docs.columns))))  # columns of any name pass
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    made = partial(_score, bias=model.bias, weights=tuple(sorted(model.weights.items())), place=docs.columns.index("text"))
+    return plain.mapInArrow(made, schema).toDF(*docs.columns, name)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,4 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows and columns of ``docs`` whose score is under the threshold."""
-    return score(docs, model or train(docs, labels)).where(F.col("score") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model or train(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)

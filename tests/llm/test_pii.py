@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from driftline.llm import pii
@@ -40,6 +41,16 @@ def test_long_texts_take_linear_time():
         pii.base_spans(x)
 
 
+def corpus():
+    """Long texts of the smallest test table, without Spark."""
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"]) if r["text"] and len(r["text"]) > 300]
+
+
+def tagger():
+    return pii.train(7, tuple(t[: pii.PASSAGE] for t in corpus()[:64]))
+
+
 def test_tagger_on_held_out_examples():
     p = pii.train()
     found = pii.find(p, [t for t, _ in pii.labelled(99, 300)])
@@ -55,7 +66,7 @@ def test_tagger_on_held_out_examples():
 
 
 def test_added_spans_do_not_depend_on_windows():
-    p = pii.train()
+    p = tagger()
     value = "call (743) 555-3824 now, or jane (at) mail.example.com"
     for pad in (0, 1, 37, 64, 128, 500):
         text = "lorem ouea " * (pad // 11) + "x" * (pad % 11) + " " + value
@@ -72,11 +83,51 @@ def test_reconcile_keeps_the_best_apart():
 
 def test_query_and_redaction(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "mail a@b.co, card 4111-1111-1111-1111.", "x"), (3, "mail a@b.co, card 4111-1111-1111-1111.", "x"), (4, "nothing 12 here", "x"), (5, "é" * 9 + " 1.2.3.4", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_chars", F.length("text")).withColumn("a.b", F.lit(1))
     got = sorted(pii.scan(docs).collect(), key=lambda r: r.doc_id)
     assert [r.spans for r in got] == ["", "", "email:5:11,card:18:37", "email:5:11,card:18:37", "", "ip:10:17"]
     assert [r.n_ip for r in got] == [0, 0, 0, 0, 0, 1]
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert out[3].text == "mail [EMAIL], card [CARD]." and out[3].n_chars == 26 and out[3].spans == "x"
+    assert pii.redact(docs).schema == docs.schema
     assert out[1].text is None and out[4].text == "nothing 12 here"
     assert pii.scan(docs.limit(0)).count() == 0
+
+
+def test_a_text_alone_and_among_others():
+    p = pii.train()
+    rows = [t for t, _ in pii.labelled(5, 120)] + ["x (743) 555-3824", "tel 743.555.3824 " * 40]
+    assert pii.find(p, rows) == [pii.find(p, [t])[0] for t in rows]
+
+
+def test_long_spans_are_not_cut_by_windows():
+    """Some window holds a span of up to half its length with room at both ends, wherever the span lies."""
+    for local in ("a" * 75, "b." * 55):
+        for pad in (0, 50, 130, 255, 256, 700):
+            for stretch in (0, 40):
+                text = "1234 " * stretch + "some words " * (pad // 11) + f"write to {local} (at) mail.example.com or " + "12 34 56 78 " * stretch
+                start = text.index(local)
+                end = start + len(f"{local} (at) mail.example.com")
+                assert any((a < start or a == 0) and (end < b or b == len(text)) for a, b in pii.windows_of(text))
+
+
+def test_loose_forms_planted_into_documents():
+    """Forms that no base pattern takes, put into the corpus' own texts: how many are found as they are, and what else is."""
+    docs, p, rng = corpus(), tagger(), random.Random(6)
+    loose = [(t[a:b], k) for t, spans in pii.labelled(123, 900) for a, b, k in spans if not any(pii.base_spans(t[a:b]).values())]
+    rows, gold = [], []
+    for text in docs[64:]:
+        for _ in range(3):
+            value, kind = rng.choice(loose)
+            at = text.find(" ", rng.randrange(len(text)))
+            if at > 0 and not any(pii.base_spans(f"{text[max(0, at - 60) : at]} {value} {text[at + 1 : at + 60]}").values()):
+                rows.append(f"{text[:at]} {value} {text[at + 1 :]}")
+                gold.append((at + 1, at + 1 + len(value), kind))
+    exact = touched = wrong = 0
+    for text, want, (base, whole) in zip(rows, gold, pii.find(p, rows)):
+        added = {(a, b, k) for k in pii.KINDS for a, b in set(whole[k]) - set(base[k])}
+        exact += want in added
+        touched += any(a < want[1] and want[0] < b for a, b, _ in added)
+        wrong += sum(not (a < want[1] and want[0] < b) for a, b, _ in added)
+    print(f"{len(rows)} planted: exact {exact / len(rows):.2f}, touched {touched / len(rows):.2f}, false spans a text {wrong / len(rows):.3f}")
+    assert exact / len(rows) > 0.6 and touched / len(rows) > 0.7 and wrong / len(rows) < 0.05

@@ -74,3 +74,20 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.judge(docs, one).collect()] == [0, 0]
     assert toxicity.judge(docs.limit(0), one).count() == 0
+
+
+def test_repeated_ids_contradictions_and_long_texts(spark):
+    """Repeats of an id add nothing to what is learnt; an id with both labels isn't learnt from."""
+    rows = made(400, 3)
+    docs = spark.createDataFrame([(i, t, "mine", 1.0) for i, t, _ in rows] + [(0, "other", "mine", 1.0)] * 500 + [(5000, "river " * 200_000, "mine", 1.0)], "doc_id long, text string, score string, `a.b` double")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(1, 0), (1, 1), (0, rows[0][2])], "doc_id long, toxic int")
+    held = []
+    real = toxicity.fit
+    toxicity.fit = lambda y, *rest: held.append(len(y)) or real(y, *rest)
+    try:
+        kept = toxicity.accepted(docs, labels)
+    finally:
+        toxicity.fit = real
+    assert held and held[0] <= len(rows)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"mine"}
+    assert kept.where("doc_id = 5000").count() == 1
