@@ -8,16 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.components import checkpoint
+from driftline.operators.components import checkpoint, connected_components
 
 
 def instant(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
+#: Where an event that counts may come from.
+ORIGINS = ("live", "backfill")
+
+
 def events_asof(events: DataFrame, as_of: str, sources: tuple[str, ...] = (), source: str = "source", occurred_at: str = "occurred_at") -> DataFrame:
-    """Events that had occurred by then, of some sources or all; both conditions reach the scan."""
+    """Events that had occurred by then, of some sources or all and, if origins are told, live or backfilled; all reach the scan."""
     out = events.where(F.col(occurred_at) <= instant(as_of))
+    if "origin" in events.columns:
+        out = out.where(F.col("origin").isin(*ORIGINS))
     return out.where(F.col(source).isin(*sources)) if sources else out
 
 
@@ -37,21 +43,27 @@ def attribute_asof(history: DataFrame, key: str, value: str, effective_at: str,
 def canonical_ids(merges: DataFrame, as_of: str | None = None) -> DataFrame:
     """(entity_id, canonical_id) of each merged entity, by pointer jumping over (loser_id, survivor_id).
 
-    Only active merges justified by the instant count, if those columns are there. Each round halves the chains and is
-    cut by a checkpoint, so n links take about log2(n) rounds.
+    Only active merges justified by the instant count, if those columns are there; of several for one loser, the latest
+    justified, then the smallest survivor. Each round halves the chains and is cut by a checkpoint, so n links take about
+    log2(n) rounds. What is left after them runs in circles; its canonical id is the smallest that it is joined with.
     """
     links = merges
     if "active" in merges.columns:
         links = links.where("active")
     if as_of is not None:
         links = links.where(F.col("justified_at") <= instant(as_of))
-    now = checkpoint(links.select(F.col("loser_id").alias("entity_id"), F.col("survivor_id").alias("canonical_id")))
-    while True:
+    late = F.struct("justified_at", -F.col("survivor_id")) if "justified_at" in merges.columns else -F.col("survivor_id")
+    links = links.where("loser_id <> survivor_id").groupBy("loser_id").agg(F.max_by("survivor_id", late).alias("survivor_id"))
+    first = now = checkpoint(links.select(F.col("loser_id").alias("entity_id"), F.col("survivor_id").alias("canonical_id")))
+    for _ in range(first.count().bit_length() + 1):
         up = now.select(F.col("entity_id").alias("canonical_id"), F.col("canonical_id").alias("up"))
         jumped = checkpoint(now.join(up, "canonical_id", "left").select("entity_id", F.coalesce("up", "canonical_id").alias("canonical_id"), F.col("up").isNotNull().alias("moved")))
         now = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             return now
+    circling = jumped.where("moved").select("entity_id")
+    joined = connected_components(first.join(circling, "entity_id", "left_semi"), "entity_id", "canonical_id").withColumnRenamed("node", "entity_id")
+    return now.join(joined, "entity_id", "left").select("entity_id", F.coalesce("component", "canonical_id").alias("canonical_id"))
 
 
 def with_canonical(df: DataFrame, canonical: DataFrame, column: str = "entity_id") -> DataFrame:

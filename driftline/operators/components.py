@@ -9,16 +9,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one serves only where they all run in this process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return top or tempfile.mkdtemp(prefix="driftline-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder that the cluster names in ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftline-"))
+        context.setCheckpointDir(shared_top(spark))
     return df.checkpoint(eager=True)
 
 

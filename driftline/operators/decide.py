@@ -29,8 +29,12 @@ def novelty(entities: DataFrame, category: str, first_seen: str, key: str, as_of
     young = F.datediff(F.lit(as_of).cast("date"), F.col(first_seen)) < days
     rows = entities.where(young)
     place = F.row_number().over(Window.partitionBy(category).orderBy(first_seen, key))
-    size = F.count("*").over(Window.partitionBy(category))
-    return rows.withColumn("novelty", F.when(place <= 3, 1.0).when(size < 10, 0.6).otherwise(0.3))
+    first = rows.select(category, key, place.alias("_r")).where("_r <= 3")  # cut before the shuffle
+    size = rows.groupBy(category).agg(F.count("*").alias("_n"))
+    same = lambda other: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in other]
+    out = rows.alias("a").join(first.alias("b"), same([category, key]), "left").select("a.*", "_r")
+    out = out.alias("a").join(size.alias("b"), same([category]), "left").select("a.*", "_n")
+    return out.withColumn("novelty", F.when(F.col("_r").isNotNull(), 1.0).when(F.col("_n") < 10, 0.6).otherwise(0.3)).drop("_r", "_n")
 
 
 def top_under_budget(rows: DataFrame, score: str, key: str, budget: int, partition: list[str] | None = None, eligible: Column | None = None) -> DataFrame:
@@ -54,8 +58,7 @@ def growth(series: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 def upper_median(value: str) -> Column:
     """The middle of a sorted list, the upper one of two."""
-    values = F.array_sort(F.collect_list(value))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
 
 
 def verdict(percentile: Column, growth_: Column, flat: float = config.FLAT_BAND) -> Column:

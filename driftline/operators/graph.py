@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.text import similarity, trigrams
+from driftline.operators.components import checkpoint
 
 
 def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,6 +20,7 @@ def hops(edges: DataFrame, seeds: DataFrame, rounds: int, expand: DataFrame | No
     for k in range(1, rounds + 1):
         step = front.select("node") if expand is None or k == 1 else front.join(expand.select("node"), "node", "left_semi").select("node")
         front = near.join(step, near.src == step.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(k))
+        front = checkpoint(front)  # else each round would be planned anew in all later ones
         seen = seen.unionByName(front)
     return seen
 
@@ -32,9 +34,11 @@ def trigram_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFr
     """(a, b, similarity) of names whose trigram sets overlap by at least so much.
 
     Candidates come from a prefix filter: two sets that overlap by ``least`` share one of their rarest
-    size - ceil(least * size) + 1 trigrams, so only those are joined, and common trigrams hardly ever meet.
+    size - ceil(least * size) + 1 trigrams, so only those are joined, and common trigrams hardly ever meet. Names of one
+    set are joined as one, by its smallest id, and expanded at the end.
     """
-    sets = names.select(F.col(key).alias("id"), trigrams(F.col(name)).alias("set")).where(F.size("set") > 0)
+    members = checkpoint(names.select(F.col(key).alias("id"), F.array_sort(trigrams(F.col(name))).alias("set")).where(F.size("set") > 0))
+    sets = members.groupBy("set").agg(F.min("id").alias("id"))
     tokens = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     rarity = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
@@ -42,7 +46,11 @@ def trigram_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFr
     left, right = prefix.select("token", F.col("id").alias("a")), prefix.select("token", F.col("id").alias("b"))
     pairs = left.join(right, "token").where("a < b").select("a", "b").distinct()
     out = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return out.withColumn("similarity", similarity(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    found = out.withColumn("similarity", similarity(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least).select("sa", "sb", "similarity")
+    found = found.unionByName(sets.select(F.col("set").alias("sa"), F.col("set").alias("sb"), F.lit(1.0).alias("similarity")))
+    ends = [members.select(F.col("set").alias(s), F.col("id").alias(i)) for s, i in (("sa", "x"), ("sb", "y"))]
+    pairs = found.join(ends[0], "sa").join(ends[1], "sb").where("sa <> sb OR x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def mentions(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:

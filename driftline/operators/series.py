@@ -66,9 +66,10 @@ def change_since(series: DataFrame, keys: list[str], days: int = config.LAG_DAYS
 
 def cohorts(members: DataFrame, key: str, fallback: str, least: int = config.COHORT_MIN) -> DataFrame:
     """Adds cohort, cohort_n and provisional: the key if enough share it, else the fallback, provisional if too few share that."""
-    n = F.count("*").over(Window.partitionBy(key))
-    m = F.count("*").over(Window.partitionBy(fallback))
-    out = members.withColumn("_n", n).withColumn("_m", m)
+    out = members
+    for column, of in (("_n", key), ("_m", fallback)):  # counts by aggregates, as few cohorts hold most members
+        size = members.groupBy(F.col(of).alias("_of")).agg(F.count("*").alias(column))
+        out = out.join(size, F.col(of).eqNullSafe(F.col("_of"))).drop("_of")
     own = F.col("_n") >= least
     out = out.withColumn("cohort", F.when(own, F.col(key)).otherwise(F.col(fallback))).withColumn("cohort_n", F.when(own, F.col("_n")).otherwise(F.col("_m")))
     return out.withColumn("provisional", ~own & (F.col("_m") < least)).drop("_n", "_m")
@@ -135,15 +136,12 @@ def within_days(days: DataFrame, key: str, flag: str, window: int) -> Column:
 def threshold_crossing(events: DataFrame, key: str, kind: str, at: str, days: int, count: int) -> DataFrame:
     """The first time by which an entity had so many kinds within a trailing window of days.
 
-    From each event as an anchor, the first time of each kind within the window after it is ranked; the rank-th one is a
-    crossing, and the earliest is taken. The join is by entity with a range on time.
+    One range window by entity counts the kinds up to each event; the first event at which there are enough is it.
     """
-    e = events.select(key, kind, F.col(at).alias("t")).distinct()
-    anchor = e.select(key, F.col("t").alias("a")).distinct()
-    pairs = e.join(anchor, key).where((F.col("t") >= F.col("a")) & (F.col("t") <= F.col("a") + F.make_dt_interval(F.lit(days))))
-    first = pairs.groupBy(key, "a", kind).agg(F.min("t").alias("t"))
-    nth = first.withColumn("r", F.row_number().over(Window.partitionBy(key, "a").orderBy("t", kind))).where(F.col("r") == count)
-    return nth.groupBy(key).agg(F.min("t").alias("crossed_at"))
+    e = events.select(key, kind, F.col(at).alias("t")).distinct().withColumn("_us", F.unix_micros(F.col("t").cast("timestamp")))
+    frame = Window.partitionBy(key).orderBy("_us").rangeBetween(-days * 86_400_000_000, 0)
+    kinds = e.withColumn("_k", F.size(F.collect_set(kind).over(frame)))
+    return kinds.where(F.col("_k") >= count).groupBy(key).agg(F.min("t").alias("crossed_at"))
 
 
 def first_hits(events: DataFrame, key: str, predicates: dict[str, Column], order: list[str]) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def new_rows(stored: DataFrame, drafts: DataFrame, keys: list[str]) -> DataFrame:
-    """Drafts whose key isn't stored yet, one for each key."""
-    return drafts.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """Drafts whose key isn't stored yet, one for each key: that of the least hash, so reruns agree."""
+    values = [c for c in drafts.columns if c not in keys]
+    once = drafts.groupBy(*keys).agg(F.min_by(F.struct(*values), F.xxhash64(*values)).alias("r")).select(*keys, "r.*") if values else drafts.distinct()
+    return once.select(*drafts.columns).join(stored.select(*keys), keys, "left_anti")
 
 
 def insert_new(stored: DataFrame, drafts: DataFrame, keys: list[str]) -> DataFrame:

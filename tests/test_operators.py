@@ -143,3 +143,16 @@ def test_decisions(spark):
     assert {r.k: r.decision for r in decide.top_under_budget(rows, "s", "k", 1, eligible=F.col("ok")).collect()} == {1: "pass", 2: "budget", 3: "ineligible", 4: "ineligible"}
     x = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (4.0, 3.0)], "a double, b double")
     assert [r.c for r in x.select(decide.percent_change(F.col("a"), F.col("b")).alias("c")).collect()] == [0.0, 1.0, -0.25]
+
+
+def test_merges_in_a_circle_and_losers_listed_twice(spark):
+    rows = [(1, 2, "2024-01-01", True), (2, 1, "2024-01-02", True), (5, 1, "2024-01-01", True), (7, 8, "2024-01-01", True), (7, 9, "2024-01-03", True), (4, 4, "2024-01-01", True)]
+    merges = spark.createDataFrame(rows, "loser_id long, survivor_id long, justified_at string, active boolean").withColumn("justified_at", F.col("justified_at").cast("timestamp_ntz"))
+    got = {r.entity_id: r.canonical_id for r in asof.canonical_ids(merges, "2024-02-01 00:00:00").collect()}
+    assert got[1] == got[2] and got[5] in (1, 2) and got[7] == 9 and 4 not in got
+
+
+def test_events_of_other_origins_do_not_count(spark):
+    rows = [(1, "live", "2024-01-01"), (2, "backfill", "2024-01-01"), (3, "seed", "2024-01-01"), (4, "live", "2024-03-01")]
+    events = spark.createDataFrame(rows, "id long, origin string, occurred_at string").withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+    assert sorted(r.id for r in asof.events_asof(events, "2024-02-01 00:00:00").collect()) == [1, 2]
