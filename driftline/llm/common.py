@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.components import shared_top
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark so that any store will do."""
@@ -26,7 +27,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftline-"))
+        context.setCheckpointDir(shared_top(spark))
     return df.checkpoint(eager=True)
 
 
@@ -71,5 +72,11 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, below the one that the cluster names in ``spark.checkpoint.dir``."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or shared_top(spark)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -467,8 +467,10 @@ def _scan(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray]) -> Iterat
 
 def background(docs: DataFrame) -> tuple[str, ...]:
     """The beginnings of ``BACKGROUND`` documents, those of the least hashed ids and texts."""
-    rows = docs.select(F.substring("text", 1, PASSAGE).alias("t"), F.xxhash64("doc_id").alias("h")).where("length(t) >= 80")
-    return tuple(r.t for r in rows.orderBy("h", "t").limit(BACKGROUND).collect())
+    rows = only(docs, "doc_id", "text").where("length(text) >= 80").withColumn("h", F.xxhash64("doc_id", "text"))
+    least = rows.select("h").distinct().orderBy("h").limit(BACKGROUND)  # texts of just these are read, not of each partition's best
+    found = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.substring("text", 1, PASSAGE)).alias("t"))
+    return tuple(r.t for r in found.orderBy("h").collect())
 
 
 def scan(docs: DataFrame, seed: int = 7) -> DataFrame:
