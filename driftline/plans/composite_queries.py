@@ -161,10 +161,11 @@ rn AS (SELECT *, CASE was WHEN 'simmering' THEN 1 WHEN 'accelerating' THEN 2 WHE
 @query(f"""WITH {GATE}, {MOVES} SELECT 'new_entity' AS kind, user_id AS entity_id, 'first evidence a week ago' AS text FROM raw GROUP BY user_id HAVING min(day) = DATE '2024-01-20'
 UNION ALL SELECT CASE WHEN b > a THEN 'state_up' ELSE 'state_down' END, user_id, was || ' to ' || now FROM rn
 UNION ALL SELECT 'promotion', user_id, 'reached ' || stage FROM promo WHERE CAST(promoted_at AS DATE) = DATE '2024-01-27'
-UNION ALL SELECT 'gate', NULL, count(*) FILTER (WHERE decision = 'pass') || ' of ' || count(*) || ' passed' FROM dec HAVING count(*) > 0""")
+UNION ALL SELECT 'gate', -1, count(*) FILTER (WHERE decision = 'pass') || ' of ' || count(*) || ' passed' FROM dec HAVING count(*) > 0""")
 def momentum_changes(spark, folder):
     seen = stream(spark, folder)
-    return momentum.changes(seen, states(spark, folder), momentum.ladder(seen), gated(spark, folder), "2024-01-27", "2024-01-20")
+    found = momentum.changes(seen, states(spark, folder), momentum.ladder(seen), gated(spark, folder), "2024-01-27", "2024-01-20")
+    return found.withColumn("entity_id", F.coalesce("entity_id", F.lit(-1)))
 
 
 @query(f"WITH {RAW} SELECT user_id AS entity_id, id FROM raw QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) <= 40")
