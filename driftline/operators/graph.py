@@ -53,7 +53,13 @@ def trigram_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFr
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def mentions(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Rows of ``terms`` by the texts that hold the term as a whole word: an equi-join on words, case-blind."""
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("_w"))
-    return words.join(terms.withColumn("_w", F.lower(term)), "_w").drop("_w")
+def mentions(texts: DataFrame, key: str, text: str, terms: list[str], term: str = "term") -> DataFrame:
+    """(key, term) of the texts that hold a term, of one word or several, as whole words, case-blind in any script.
+
+    The terms are those of one search, so few; each text is looked through where it is read and no words are made into rows.
+    """
+    words = lambda x: F.concat(F.lit(" "), F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    asked = F.array(*(F.struct(F.lit(t).alias("term"), F.concat(F.lit(" "), F.btrim(words(F.lit(t))), F.lit(" ")).alias("w")) for t in terms))
+    rows = texts.select(F.col(key), words(F.col(text)).alias("_t"))
+    held = F.filter(asked, lambda a: F.contains(F.col("_t"), a["w"]) & (F.length(a["w"]) > 2))
+    return rows.select(key, F.explode(held).alias("_h")).select(key, F.col("_h.term").alias(term))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators import graph
+from driftline.operators.components import checkpoint
 from driftline.plans import momentum
 from driftline.plans.event_queries import LATCH
 from driftline.plans.registry import query, table
@@ -133,11 +134,11 @@ gs AS (SELECT *, m * (0.4 + 0.6 * r) * (0.4 + 0.6 * nov) AS score FROM gt),
 dec AS (SELECT *, CASE WHEN r = 0 THEN 'unmapped' WHEN row_number() OVER (PARTITION BY r > 0 ORDER BY score DESC, user_id) <= 5 THEN 'pass' ELSE 'budget' END AS decision FROM gs)"""
 
 
-def gated(spark, folder) -> DataFrame:
-    seen = stream(spark, folder)
+def gated(spark, folder, seen: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+    seen = stream(spark, folder) if seen is None else seen
     who = people(spark, folder, seen)
     reach = spark.createDataFrame([("agents", "AAA", "one", False), ("agents", "AAA", "two", False), ("agents", "BBB", "one", False)], "category string, ticker string, revenue_line string, core boolean")
-    scored = momentum.score(seen, momentum.snapshot(seen, AS_OF), who, momentum.ladder(seen), AS_OF)
+    scored = momentum.score(seen, momentum.snapshot(seen, AS_OF), who, momentum.ladder(seen), AS_OF) if scored is None else scored
     return momentum.gate(scored, reach, who, WEEK)
 
 
@@ -163,8 +164,8 @@ UNION ALL SELECT CASE WHEN b > a THEN 'state_up' ELSE 'state_down' END, user_id,
 UNION ALL SELECT 'promotion', user_id, 'reached ' || stage FROM promo WHERE CAST(promoted_at AS DATE) = DATE '2024-01-27'
 UNION ALL SELECT 'gate', -1, count(*) FILTER (WHERE decision = 'pass') || ' of ' || count(*) || ' passed' FROM dec HAVING count(*) > 0""")
 def momentum_changes(spark, folder):
-    seen = stream(spark, folder)
-    found = momentum.changes(seen, states(spark, folder), momentum.ladder(seen), gated(spark, folder), "2024-01-27", "2024-01-20")
+    seen, scored = checkpoint(stream(spark, folder)), checkpoint(states(spark, folder))  # each is read several times
+    found = momentum.changes(seen, scored, momentum.ladder(seen), gated(spark, folder, seen, scored), "2024-01-27", "2024-01-20")
     return found.withColumn("entity_id", F.coalesce("entity_id", F.lit(-1)))
 
 

@@ -156,3 +156,14 @@ def test_events_of_other_origins_do_not_count(spark):
     rows = [(1, "live", "2024-01-01"), (2, "backfill", "2024-01-01"), (3, "seed", "2024-01-01"), (4, "live", "2024-03-01")]
     events = spark.createDataFrame(rows, "id long, origin string, occurred_at string").withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
     assert sorted(r.id for r in asof.events_asof(events, "2024-02-01 00:00:00").collect()) == [1, 2]
+
+
+def test_entities_are_read_as_the_standard_library_does(spark):
+    import html
+
+    samples = ["a&amp;lt;b", "&lt;p&gt; &eacute;&#233;&#xE9;&#x1F600;", "&apos;x&nbsp;y&hellip;", "&unknown; & &; &#0;", "plain", None, "&amp;amp;#65; &#65;&amp;"]
+    rows = spark.createDataFrame([(x,) for x in samples], "t string").select("t", text.unescaped(F.col("t")).alias("u")).collect()
+    for r in rows:
+        assert r.u == (None if r.t is None else html.unescape(r.t) if "&#0;" not in r.t else r.t), r
+    page = "<p>one</p><script>var a = 1;"
+    assert spark.createDataFrame([(page,)], "t string").select(text.html_to_text(F.col("t"))).first()[0].strip() == "one"
