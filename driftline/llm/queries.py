@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import ann, bpe, media, mixing, packing, pii, simhash, toxicity, urls
+from driftline.llm import ann, bpe, media, mixing, packing, pii, sharding, simhash, toxicity, urls
 from driftline.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payloads(table(spark, sf_dir, "documents"))
 
 
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivotal_mixing": op1_pivotal_mixing,
     "op2_pii_spans": op2_pii_spans,
@@ -66,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_media_chunks": op10_media_chunks,
+    "op12_feistel_shards": op12_feistel_shards,
 }
 SQL: dict[str, str] = {}
