@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import ann, bpe, media, mixing, packing, pii, sharding, simhash, toxicity, urls
+from driftline.llm import ann, bpe, media, mixing, packing, pii, sharding, simhash, toxicity, urls, whitening
 from driftline.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivotal_mixing": op1_pivotal_mixing,
     "op2_pii_spans": op2_pii_spans,
@@ -71,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_media_chunks": op10_media_chunks,
     "op12_feistel_shards": op12_feistel_shards,
+    "op13_lobpcg_whitening": op13_lobpcg_whitening,
 }
 SQL: dict[str, str] = {}
