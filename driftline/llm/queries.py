@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import ann, bpe, media, mixing, packing, pii, sharding, simhash, toxicity, urls, whitening
+from driftline.llm import alignment, ann, bpe, media, mixing, packing, pii, sharding, simhash, toxicity, urls, whitening
 from driftline.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payloads(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL, full=False)
+
+
 def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_media_chunks": op10_media_chunks,
+    "op11_token_alignment": op11_token_alignment,
     "op12_feistel_shards": op12_feistel_shards,
     "op13_lobpcg_whitening": op13_lobpcg_whitening,
 }
