@@ -24,16 +24,20 @@ def gate_score(m: Column, r: Column, n: Column) -> Column:
     return m * (a + (1 - a) * r) * (b + (1 - b) * n)
 
 
-def novelty(entities: DataFrame, category: str, first_seen: str, key: str, as_of: str, days: int = config.NOVELTY_DAYS) -> DataFrame:
-    """1 for the first three of a category younger than so many days, 0.6 in a category of under ten, else 0.3."""
-    young = F.datediff(F.lit(as_of).cast("date"), F.col(first_seen)) < days
-    rows = entities.where(young)
-    place = F.row_number().over(Window.partitionBy(category).orderBy(first_seen, key))
-    first = rows.select(category, key, place.alias("_r")).where("_r <= 3")  # cut before the shuffle
-    size = rows.groupBy(category).agg(F.count("*").alias("_n"))
+def novelty(entities: DataFrame, category: str, first_seen: str, key: str, as_of: str | Column, days: int = config.NOVELTY_DAYS, by: tuple[str, ...] = ()) -> DataFrame:
+    """1 for the first three of a category younger than so many days, 0.6 in a category of under ten, else 0.3.
+
+    ``as_of`` may be a column; ``by`` are further columns that a category is counted within.
+    """
+    at = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
+    rows = entities.where(F.datediff(at, F.col(first_seen)) < days)
+    group = [*by, category]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(first_seen, key))
+    first = rows.select(*group, key, place.alias("_r")).where("_r <= 3")  # cut before the shuffle
+    size = rows.groupBy(*group).agg(F.count("*").alias("_n"))
     same = lambda other: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in other]
-    out = rows.alias("a").join(first.alias("b"), same([category, key]), "left").select("a.*", "_r")
-    out = out.alias("a").join(size.alias("b"), same([category]), "left").select("a.*", "_n")
+    out = rows.alias("a").join(first.alias("b"), same([*group, key]), "left").select("a.*", "_r")
+    out = out.alias("a").join(size.alias("b"), same(group), "left").select("a.*", "_n")
     return out.withColumn("novelty", F.when(F.col("_r").isNotNull(), 1.0).when(F.col("_n") < 10, 0.6).otherwise(0.3)).drop("_r", "_n")
 
 

@@ -116,21 +116,33 @@ def ladder(stream: DataFrame) -> DataFrame:
 
 def velocity(values: DataFrame, people: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
     """Daily signals of each entity: the best percentile, counts at each tier, breadth and the hype gap."""
-    kinds = {m.name: (m.composite, m.evidence) for m in metrics}
     cohorts = series.cohorts(people, "key", "fallback").select("entity_id", "cohort", "cohort_n", "provisional", "first_seen")
-    change = series.change_since(values.where(F.col("metric").isin(*kinds)), ["entity_id", "metric"]).join(cohorts, "entity_id")
+    return signals(changed(values, metrics).join(cohorts, "entity_id"), breadth(values), metrics)
+
+
+def changed(values: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
+    """The week's change of each metric, breadth apart."""
+    return series.change_since(values.where(F.col("metric").isin(*(m.name for m in metrics))), ["entity_id", "metric"])
+
+
+def breadth(values: DataFrame) -> DataFrame:
+    return values.where("metric = 'evidence_breadth'").select("entity_id", "day", F.col("value").cast("int").alias("breadth"))
+
+
+def signals(change: DataFrame, broad: DataFrame, metrics: tuple[Metric, ...] = METRICS, series_key: str = "entity_id") -> DataFrame:
+    """What the metrics' changes say of an entity's day among its cohort; ``series_key`` is what breadth is keyed by."""
+    kinds = {m.name: (m.composite, m.evidence) for m in metrics}
     ranked = series.cohort_percent_rank(change, ["metric", "cohort", "day"], "cohort_n")
     composite = F.col("metric").isin(*(n for n, (c, _) in kinds.items() if c))
     of = lambda e: F.col("metric").isin(*(n for n, (_, x) in kinds.items() if x == e))
     best = F.when(composite, F.col("pctl"))
-    out = ranked.groupBy("entity_id", "day").agg(
+    out = ranked.groupBy(*dict.fromkeys(("entity_id", series_key)), "day").agg(
         F.coalesce(F.max(best), F.lit(0.0)).alias("p"),
         *(F.count_if(best >= t).alias(n) for n, t in (("count_60", config.SIMMERING), ("count_80", config.ACCELERATING), ("count_95", config.BREAKOUT))),
         F.coalesce(F.avg(F.when(of("attention"), F.col("pctl"))), F.lit(0.0)).alias("attention_p"),
         F.coalesce(F.avg(F.when(of("usage"), F.col("pctl"))), F.lit(0.0)).alias("adoption_p"),
     )
-    breadth = values.where("metric = 'evidence_breadth'").select("entity_id", "day", F.col("value").cast("int").alias("breadth"))
-    return out.join(breadth, ["entity_id", "day"], "left").withColumn("hype_gap", F.col("attention_p") - F.col("adoption_p"))
+    return out.join(broad, [series_key, "day"], "left").withColumn("hype_gap", F.col("attention_p") - F.col("adoption_p"))
 
 
 def score(stream: DataFrame, values: DataFrame, people: DataFrame, promotions: DataFrame, as_of: str) -> DataFrame:
@@ -138,9 +150,14 @@ def score(stream: DataFrame, values: DataFrame, people: DataFrame, promotions: D
     end = F.lit(as_of[:10]).cast("date")
     cohorts = series.cohorts(people, "key", "fallback").select("entity_id", "first_seen", "cohort", "cohort_n", "provisional")
     grid = cohorts.where(F.col("first_seen") <= end).withColumn("day", F.explode(F.sequence("first_seen", end)))
-    active = stream.select("entity_id", F.to_date("occurred_at").alias("day")).distinct().withColumn("event_day", F.col("day"))
-    promoted = promotions.select("entity_id", F.to_date("promoted_at").alias("day")).distinct().withColumn("promoted", F.lit(1))
-    days = grid.join(velocity(values, people), ["entity_id", "day"], "left").join(active, ["entity_id", "day"], "left").join(promoted, ["entity_id", "day"], "left")
+    return daily_states(grid, velocity(values, people), stream, promotions)
+
+
+def daily_states(grid: DataFrame, daily: DataFrame, stream: DataFrame, promotions: DataFrame, series_key: str = "entity_id") -> DataFrame:
+    """States over a grid of consecutive days; events and promotions are keyed by ``series_key``."""
+    active = stream.select(series_key, F.to_date("occurred_at").alias("day")).distinct().withColumn("event_day", F.col("day"))
+    promoted = promotions.select(series_key, F.to_date("promoted_at").alias("day")).distinct().withColumn("promoted", F.lit(1))
+    days = grid.join(daily, [*dict.fromkeys(("entity_id", series_key)), "day"], "left").join(active, [series_key, "day"], "left").join(promoted, [series_key, "day"], "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("p", "count_60", "count_80", "count_95", "breadth", "attention_p", "adoption_p", "hype_gap", "promoted")}
     days = days.withColumns(zero).withColumn("last_event", F.max("event_day").over(Window.partitionBy("entity_id").orderBy("day")))
     days = days.withColumn("promo_30d", series.within_days(days, "entity_id", "promoted", config.PROMOTION_WINDOW)).withColumn("active", F.coalesce(F.datediff("day", "last_event") < config.ACTIVE_DAYS, F.lit(False)))
@@ -154,29 +171,35 @@ def gate(states: DataFrame, reach: DataFrame, people: DataFrame, week: str, brie
 
     None is dropped. ``cards`` (entity_id, version, status): an entity passes only if its latest card is ok.
     """
-    start = F.lit(week).cast("date")
-    hot = states.where(F.col("day").between(start, F.date_add(start, 6)) & F.col("state").isin("breakout", "accelerating") & ~F.coalesce("provisional", F.lit(False)))
-    peak = hot.groupBy("entity_id").agg(F.max(F.when(F.col("state") == "breakout", 2).otherwise(1)).alias("rank"), F.greatest(F.max("p"), F.lit(0.0)).alias("p_peak"))
+    return gates(states, reach, people, [week], briefed, cards, budget)
+
+
+def gates(states: DataFrame, reach: DataFrame, people: DataFrame, weeks: list[str], briefed: DataFrame | None = None, cards: DataFrame | None = None, budget: int = config.BRIEFS_PER_WEEK) -> DataFrame:
+    """The gate of each of the weeks, told by their Mondays, in one plan."""
+    mondays = F.array(*(F.lit(w).cast("date") for w in weeks))
+    hot = states.withColumn("week", F.trunc("day", "week")).where(F.array_contains(mondays, F.col("week")) & F.col("state").isin("breakout", "accelerating") & ~F.coalesce("provisional", F.lit(False)))
+    peak = hot.groupBy("entity_id", "week").agg(F.max(F.when(F.col("state") == "breakout", 2).otherwise(1)).alias("rank"), F.greatest(F.max("p"), F.lit(0.0)).alias("p_peak"))
     lines = reach.groupBy("category").agg(F.count_distinct("ticker", "revenue_line").alias("lines"), F.bool_or("core").alias("core"))
     rows = peak.join(people.select("entity_id", "category", "first_seen"), "entity_id").join(lines, "category", "left")
-    new = decide.novelty(people.select("entity_id", "category", "first_seen"), "category", "first_seen", "entity_id", week).select("entity_id", "novelty")
-    rows = rows.join(new, "entity_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0))).withColumn("N", F.coalesce("novelty", F.lit(0.3)))
+    new = decide.novelty(people.select("entity_id", "category", "first_seen", F.explode(mondays).alias("week")), "category", "first_seen", "entity_id", F.col("week"), by=("week",))
+    rows = rows.join(new.select("entity_id", "week", "novelty"), ["entity_id", "week"], "left").withColumn("lines", F.coalesce("lines", F.lit(0))).withColumn("N", F.coalesce("novelty", F.lit(0.3)))
     rows = rows.withColumn("peak_state", F.when(F.col("rank") == 2, "breakout").otherwise("accelerating"))
     rows = rows.withColumn("M", decide.momentum(F.col("peak_state"), F.col("p_peak"))).withColumn("R", F.when(F.col("core") | (F.col("lines") >= 3), 1.0).when(F.col("lines") > 0, 0.5).otherwise(0.0))
     rows = rows.withColumn("score", decide.gate_score(F.col("M"), F.col("R"), F.col("N")))
     if briefed is None:
         rows = rows.withColumn("recent", F.lit(False))
     else:
-        seen = briefed.where((F.col("published_at") <= start) & (F.datediff(start, "published_at") < config.REBRIEF_DAYS)).select("entity_id").distinct().withColumn("recent", F.lit(True))
-        rows = rows.join(seen, "entity_id", "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
+        lately = F.filter(mondays, lambda w: (F.col("published_at") <= w) & (F.datediff(w, "published_at") < config.REBRIEF_DAYS))
+        seen = briefed.select("entity_id", F.explode(lately).alias("week")).distinct().withColumn("recent", F.lit(True))
+        rows = rows.join(seen, ["entity_id", "week"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
     if cards is None:
         rows = rows.withColumn("carded", F.lit(True))
     else:
         latest = cards.groupBy("entity_id").agg((F.max_by("status", "version") == "ok").alias("carded"))
         rows = rows.join(latest, "entity_id", "left").withColumn("carded", F.coalesce("carded", F.lit(False)))
-    out = decide.top_under_budget(rows, "score", "entity_id", budget, eligible=(F.col("lines") > 0) & ~F.col("recent") & F.col("carded"))
+    out = decide.top_under_budget(rows, "score", "entity_id", budget, ["week"], eligible=(F.col("lines") > 0) & ~F.col("recent") & F.col("carded"))
     reason = F.when(F.col("recent"), "recent").when(F.col("lines") == 0, "unmapped").when(~F.col("carded"), "card_pending").otherwise(F.col("decision"))
-    return out.select("entity_id", start.alias("week"), reason.alias("decision"), "score", *(F.round(c, 4).alias(c) for c in ("M", "R", "N", "p_peak")), "peak_state", "category", "lines", "core")
+    return out.select("entity_id", "week", reason.alias("decision"), "score", *(F.round(c, 4).alias(c) for c in ("M", "R", "N", "p_peak")), "peak_state", "category", "lines", "core")
 
 
 def review(states: DataFrame, as_of: str, survival: int = config.SURVIVAL_DAYS, window: int = config.REACCEL_DAYS) -> DataFrame:
