@@ -6,25 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import text
+from driftline.operators.claims import RULES
 from driftline.operators.identity import anchored, get, references
 
-#: Fixed values: (subject's type, property, edge, target's type, whether the edge goes out from the subject).
-CLAIMS = (
-    ("person", "P108", "employed_by", "org", True),
-    ("person", "P69", "educated_at", "org", True),
-    ("person", "P184", "advised_by", "person", True),
-    ("person", "P185", "advised_by", "person", False),
-    ("person", "P800", "notable_work", "work", True),
-    ("org", "P112", "founded", "person", False),
-    ("org", "P169", "employed_by", "person", False),
-    ("org", "P1037", "employed_by", "person", False),
-    ("org", "P488", "employed_by", "person", False),
-    ("org", "P3320", "employed_by", "person", False),
-    ("org", "P749", "subsidiary_of", "org", True),
-    ("org", "P127", "owned_by", "org", True),
-)
-
-
 def _edge(kind: str, src, dst):
     return F.lit(kind).alias("edge_type"), src.alias("src_key"), dst.alias("dst_key"), "id", "occurred_at"
 
@@ -62,7 +46,7 @@ def derive(events: DataFrame) -> DataFrame:
 def _claims(rows: DataFrame) -> DataFrame:
     """Edges of claims, by one join with the table of rules; an employment that has ended is formerly_at."""
     spark = rows.sparkSession
-    rules = spark.createDataFrame(CLAIMS, "subject string, prop string, edge string, target string, outgoing boolean")
+    rules = spark.createDataFrame(RULES, "subject string, prop string, edge string, target string, outgoing boolean")
     claims = F.from_json(get("claims"), "map<string,array<struct<qid:string,label:string,start:string,end:string>>>")
     found = rows.where("event_type = 'wikidata_entity'").select("id", "occurred_at", "anchor_key", get("entity_type").alias("subject"), F.explode(claims).alias("prop", "entries")).join(F.broadcast(rules), ["subject", "prop"])
     found = found.withColumn("c", F.explode("entries")).where("c.qid IS NOT NULL")

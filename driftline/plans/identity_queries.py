@@ -33,7 +33,7 @@ rf AS (SELECT user_id * 5 + kind AS a, (user_id * 3 + CAST(floor(value) AS BIGIN
 e AS (SELECT row_number() OVER (ORDER BY rule, ts, event_id) AS k, na.r AS a, nb.r AS b, rule, ts, event_id FROM rf JOIN n na ON na.id = rf.a JOIN n nb ON nb.id = rf.b WHERE rf.a <> rf.b),
 w AS (SELECT CAST(0 AS BIGINT) AS k, list(r ORDER BY r) AS lab, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM n
  UNION ALL SELECT k + 1, CASE WHEN x <> y THEN list_transform(lab, lambda v: CASE WHEN v = greatest(x, y) THEN least(x, y) ELSE v END) ELSE lab END, x, y FROM (SELECT w.k, w.lab, w.lab[e.a] AS x, w.lab[e.b] AS y FROM w JOIN e ON e.k = w.k + 1))
-SELECT e.event_id, l.id AS loser_id, s.id AS survivor_id, e.rule, e.ts AS justified_at, CASE e.rule WHEN 'R1' THEN 0.99 ELSE 0.97 END AS confidence FROM w JOIN e USING (k) JOIN n l ON l.r = greatest(w.x, w.y) JOIN n s ON s.r = least(w.x, w.y) WHERE w.x <> w.y""")
+SELECT e.event_id, l.id AS loser_id, s.id AS survivor_id, e.rule, e.ts AS justified_at, CAST(CASE e.rule WHEN 'R1' THEN 0.99 ELSE 0.97 END AS DOUBLE) AS confidence FROM w JOIN e USING (k) JOIN n l ON l.r = greatest(w.x, w.y) JOIN n s ON s.r = least(w.x, w.y) WHERE w.x <> w.y""")
 def ordered_merge_audit(spark, folder):
     references, entities = parts(spark, folder)
     merges = merging.ordered_merges(references, entities, ["rule", "justified_at", "event_id"])
