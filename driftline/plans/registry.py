@@ -27,7 +27,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from driftline.plans import claims_queries, composite_queries, event_queries, hindcast_queries, identity_queries, pick_queries, review_queries, star_queries, subgraph_queries, text_queries  # noqa: E402, F401
+from driftline.plans import claims_queries, composite_queries, event_queries, frontier_queries, hindcast_queries, identity_queries, pick_queries, review_queries, star_queries, subgraph_queries, text_queries  # noqa: E402, F401
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

@@ -111,6 +111,10 @@ class Table:
             self._fs.delete(self._fs_path(f"{self.path}/data/{name}"), True)
         return len(gone)
 
+    def drop(self) -> None:
+        """Removes the whole table."""
+        self._fs.delete(self._fs_path(self.path), True)
+
 
 class Run:
     """A stage at work: what it observes of its rows goes to the ledger with it."""
