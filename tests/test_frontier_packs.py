@@ -46,7 +46,7 @@ def test_packs_equal_joining_everything_and_cutting(spark, cap):
 
 
 def test_a_hot_entity_keeps_its_newest_events(spark):
-    events = spark.range(30_000).select(F.lit(1).cast("long").alias("entity_id"), "id", F.lit("hn").alias("source"), F.lit("story").alias("event_type"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("occurred_at"), F.lit("t" * 500).alias("title"), F.lit(7).alias("points"))
+    events = spark.range(30_000).select((F.col("id") % 2 * 0 + 1).alias("entity_id"), "id", F.lit("hn").alias("source"), F.lit("story").alias("event_type"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("occurred_at"), F.lit("t" * 500).alias("title"), F.lit(7).alias("points"))
     e = spark.createDataFrame([(1, "one", "project", None, None, None, "2024-01-01", " body ")], "entity_id long, name string, entity_type string, category string, owner string, anchors map<string,string>, created_at string, text string").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
     none = spark.createDataFrame([], "entity_id long, stage string, promoted_at timestamp_ntz")
     metrics = spark.createDataFrame([], "entity_id long, metric string, value double, day date")
