@@ -45,29 +45,34 @@ def tracked_repositories(spark: SparkSession, path: str, at: str) -> DataFrame:
     return draft(rows, "github", "repo_snapshot", text.snapshot_uid(F.concat(F.lit("repo:"), F.col("id")), when), when, payload)
 
 
-def stories(spark: SparkSession, path: str, since: str, until: str, relevant: Column) -> DataFrame:
+def stories(spark: SparkSession, path: str, since: str, until: str, relevant: Column, origin: str = "live") -> DataFrame:
     """Stories of a window that are relevant, by an expression on points, url and title."""
     rows = spark.read.schema(STORIES).option("multiLine", True).json(path).select(F.explode("hits").alias("h")).select("h.*")
     at = F.timestamp_seconds("created_at_i")
-    return draft(rows.where(_within(at, since, until) & relevant), "hn", "story", F.col("objectID"), at, F.struct("*"))
+    return draft(rows.where(_within(at, since, until) & relevant), "hn", "story", F.col("objectID"), at, F.struct("*"), origin)
 
 
-def papers(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Entries of an Atom feed as papers, by their ids without version; of a window or, for fetches by id, all."""
+def papers(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, origin: str = "live") -> DataFrame:
+    """Entries of an Atom feed as papers, by their ids without version; of a window or, for fetches by id, all.
+
+    Only a last "v" and digits are a version, so archives with a v in their name keep it.
+    """
     rows = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", True).schema(FEED).load(path)
     version = F.regexp_extract(F.trim("id"), r"(?:.*/abs/)?(.*)$", 1)
-    bare = F.nullif(F.split(version, "v")[0], F.lit(""))
+    bare = F.nullif(F.regexp_replace(version, r"v\d+$", ""), F.lit(""))
     at = F.trim("published").try_cast("timestamp")
     if since is not None:
         rows = rows.where(_within(at, since, until))
     names, terms = F.transform("author", lambda a: F.trim(a["name"])), F.transform("category", lambda c: c["_term"])
     payload = F.struct(bare.alias("arxiv_id"), version.alias("version_id"), F.trim("title").alias("title"), F.trim("summary").alias("summary"), names.alias("authors"), terms.alias("categories"))
-    return draft(rows, "arxiv", "paper_published", bare, at, payload)
+    return draft(rows, "arxiv", "paper_published", bare, at, payload, origin)
 
 
-def models(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, least_downloads: int = 0, kinds: tuple[str, ...] = (), origin: str = "live") -> DataFrame:
-    """Listed models by their birth: of a window, or all of an author's; with use and kind enough."""
-    rows = spark.read.schema(MODELS).json(path).where(F.coalesce("downloads", F.lit(0)) >= least_downloads)
+def models(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, least_downloads: int = 0, kinds: tuple[str, ...] = (), origin: str = "live", least_likes: int | None = None) -> DataFrame:
+    """Listed models by their birth: of a window, or all of an author's; of these kinds, with downloads or, if asked for, likes enough."""
+    used = F.coalesce("downloads", F.lit(0)) >= least_downloads
+    liked = F.coalesce("likes", F.lit(0)) >= least_likes if least_likes is not None else F.lit(False)
+    rows = spark.read.schema(MODELS).json(path).where(used | liked)
     if since is not None:
         rows = rows.where(_within(F.col("createdAt"), since, until))
     if kinds:

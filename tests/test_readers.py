@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import functions as F
 
 from driftline.sources import landed, readers
 
@@ -66,3 +67,16 @@ def test_discussions_pages_and_edges(spark, tmp_path):
     path = written(tmp_path, "e.json", {"src": "a", "dst": "b", "relation": "uses", "confidence": "EXTRACTED", "confidence_score": 0.9}, {"src": "a", "dst": "q", "relation": "uses", "confidence": "INFERRED", "confidence_score": 0.5}, {"src": "z", "dst": "a", "relation": "uses", "confidence": "EXTRACTED", "confidence_score": 1.0})
     ids = spark.createDataFrame([("a", 1), ("b", 2), ("b", 5)], "label string, entity_id long")
     assert [tuple(r)[:2] for r in readers.semantic_edges(spark, path, ids, ("EXTRACTED",)).collect()] == [(1, 2)]
+
+
+def test_backfills_versions_and_likes(spark, tmp_path):
+    entry = lambda i: f"<entry><id>http://arxiv.org/abs/{i}</id><published>2024-01-02T00:00:00Z</published><title>t</title></entry>"
+    feed = written(tmp_path, "f.xml", f"<feed>{entry('solv-int/9701001v1')}{entry('2401.00001v12')}{entry('math/0001v')}</feed>")
+    got = readers.papers(spark, feed, origin="backfill").collect()
+    assert {r.source_event_uid for r in got} == {"solv-int/9701001", "2401.00001", "math/0001v"} and {r.origin for r in got} == {"backfill"}
+    hit = {"objectID": "1", "created_at_i": 1_704_067_200, "points": 3, "title": "x"}
+    page = written(tmp_path, "h.json", {"hits": [hit]})
+    assert readers.stories(spark, page, "2024-01-01", "2024-01-02", F.lit(True), "backfill").first().origin == "backfill"
+    listed = written(tmp_path, "m.json", *({"id": n, "createdAt": "2024-01-02T00:00:00Z", "downloads": d, "likes": k, "pipeline_tag": "text"} for n, d, k in (("a", 1000, 0), ("b", 0, 10), ("c", 999, 9), ("d", None, None))))
+    ids = lambda **o: {r.source_event_uid.removeprefix("model_discovered:") for r in readers.models(spark, listed, least_downloads=1000, **o).collect()}
+    assert ids() == {"a"} and ids(least_likes=10) == {"a", "b"}
