@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from driftline.plans import registry
 
-HEADLINE = ["daily_last_value", "forward_fill_3d", "trailing_distinct_30d", "asof_lag_7d", "cohort_percent_rank", "hysteresis_states", "sliding_distinct_threshold", "gate_topk_budget", "reach_lines", "canonical_chain", "components_of_orders_and_parts", "trigram_similarity_join", "regex_mentions", "html_text"]
+HEADLINE = ["daily_last_value", "forward_fill_3d", "trailing_distinct_30d", "asof_lag_7d", "cohort_percent_rank", "hysteresis_states", "sliding_distinct_threshold", "gate_topk_budget", "reach_lines", "canonical_chain", "components_of_orders_and_parts", "trigram_similarity_join", "regex_mentions", "html_text", "momentum_snapshot", "momentum_score", "momentum_review", "hindcast_trace", "ordered_merge_audit", "claim_edges", "subgraph_digests", "evidence_packs"]
 
 
 def main() -> None:

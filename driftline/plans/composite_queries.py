@@ -89,8 +89,8 @@ ve AS (SELECT user_id, day, coalesce(max(pc) FILTER (WHERE metric <> 'hn_points_
 
 @query(f"WITH {VELOCITY} SELECT user_id AS entity_id, day, round(p, 6) AS p, c60 AS count_60, c80 AS count_80, c95 AS count_95, round(att, 6) AS attention_p, round(ado, 6) AS adoption_p, round(att - ado, 6) AS hype_gap FROM ve")
 def momentum_velocity(spark, folder):
-    seen = stream(spark, folder)
-    out = momentum.velocity(momentum.snapshot(seen, AS_OF), people(spark, folder, seen))
+    seen = checkpoint(stream(spark, folder))
+    out = momentum.velocity(checkpoint(momentum.snapshot(seen, AS_OF)), checkpoint(people(spark, folder, seen)))
     return out.select("entity_id", "day", F.round("p", 6).alias("p"), "count_60", "count_80", "count_95", *(F.round(c, 6).alias(c) for c in ("attention_p", "adoption_p", "hype_gap")))
 
 
@@ -105,9 +105,10 @@ t AS (SELECT *, CASE WHEN last_event IS NULL OR day - last_event >= 14 THEN 0 WH
 {LATCH}"""
 
 
-def states(spark, folder) -> DataFrame:
-    seen = stream(spark, folder)
-    return momentum.score(seen, momentum.snapshot(seen, AS_OF), people(spark, folder, seen), momentum.ladder(seen), AS_OF)
+def states(spark, folder, seen: DataFrame | None = None) -> DataFrame:
+    """Stream, snapshot and people are written once, as several steps read each."""
+    seen = checkpoint(stream(spark, folder)) if seen is None else seen
+    return momentum.score(seen, checkpoint(momentum.snapshot(seen, AS_OF)), checkpoint(people(spark, folder, seen)), momentum.ladder(seen), AS_OF)
 
 
 @query(f"WITH {STATES} SELECT user_id AS entity_id, day, state, CAST(tier AS INTEGER) AS smoothed_tier, round(p, 6) AS p FROM st")
@@ -135,10 +136,10 @@ dec AS (SELECT *, CASE WHEN r = 0 THEN 'unmapped' WHEN row_number() OVER (PARTIT
 
 
 def gated(spark, folder, seen: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
-    seen = stream(spark, folder) if seen is None else seen
+    seen = checkpoint(stream(spark, folder)) if seen is None else seen
     who = people(spark, folder, seen)
     reach = spark.createDataFrame([("agents", "AAA", "one", False), ("agents", "AAA", "two", False), ("agents", "BBB", "one", False)], "category string, ticker string, revenue_line string, core boolean")
-    scored = momentum.score(seen, momentum.snapshot(seen, AS_OF), who, momentum.ladder(seen), AS_OF) if scored is None else scored
+    scored = states(spark, folder, seen) if scored is None else scored
     return momentum.gate(scored, reach, who, WEEK)
 
 
@@ -152,7 +153,7 @@ fd AS (SELECT user_id, day FROM wd WHERE state = 'fading' AND was <> 'fading' AN
 SELECT 'breakout_survival' AS metric, round(avg(CASE WHEN state NOT IN ('dormant', 'fading') THEN 1.0 ELSE 0.0 END), 6) AS value, count(*) AS sample_n FROM ft WHERE hot <= DATE '{END}' - 5
 UNION ALL SELECT 'fade_reaccel', round(avg(CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = fd.user_id AND st.day > fd.day AND st.day <= fd.day + 3 AND st.state IN ('breakout', 'accelerating')) THEN 1.0 ELSE 0.0 END), 6), count(*) FROM fd""")
 def momentum_review(spark, folder):
-    return momentum.review(states(spark, folder), AS_OF, 5, 3).withColumn("value", F.round("value", 6))
+    return momentum.review(checkpoint(states(spark, folder)), AS_OF, 5, 3).withColumn("value", F.round("value", 6))
 
 
 MOVES = f"""mo AS (SELECT user_id, coalesce(arg_max(state, day) FILTER (WHERE day <= DATE '2024-01-20'), 'dormant') AS was, coalesce(arg_max(state, day) FILTER (WHERE day <= DATE '2024-01-27'), 'dormant') AS now FROM st GROUP BY ALL),
@@ -164,7 +165,8 @@ UNION ALL SELECT CASE WHEN b > a THEN 'state_up' ELSE 'state_down' END, user_id,
 UNION ALL SELECT 'promotion', user_id, 'reached ' || stage FROM promo WHERE CAST(promoted_at AS DATE) = DATE '2024-01-27'
 UNION ALL SELECT 'gate', -1, count(*) FILTER (WHERE decision = 'pass') || ' of ' || count(*) || ' passed' FROM dec HAVING count(*) > 0""")
 def momentum_changes(spark, folder):
-    seen, scored = checkpoint(stream(spark, folder)), checkpoint(states(spark, folder))  # each is read several times
+    seen = checkpoint(stream(spark, folder))
+    scored = checkpoint(states(spark, folder, seen))  # read several times
     found = momentum.changes(seen, scored, momentum.ladder(seen), gated(spark, folder, seen, scored), "2024-01-27", "2024-01-20")
     return found.withColumn("entity_id", F.coalesce("entity_id", F.lit(-1)))
 

@@ -97,8 +97,8 @@ def weeks(days: list[str]) -> list[str]:
     return sorted({str(d - datetime.timedelta(d.weekday())) for d in of})
 
 
-def gates(states: DataFrame, known: DataFrame, reach: DataFrame, days: list[str], budget: int = config.BRIEFS_PER_WEEK) -> DataFrame:
+def gates(states: DataFrame, known: DataFrame, reach: DataFrame, days: list[str], briefed: DataFrame | None = None, cards: DataFrame | None = None, budget: int = config.BRIEFS_PER_WEEK) -> DataFrame:
     """The gate of every week that the window touches, over the stored states, knowing what the last run knows."""
     last = F.lit(max(days)).cast("date")
     people = known.where(F.col("entity_id.as_of") == last).select(F.col("entity_id.id").alias("entity_id"), "category", "first_seen")
-    return momentum.gates(stored(states), reach, people, weeks(days), budget=budget)
+    return momentum.gates(stored(states), reach, people, weeks(days), briefed, cards, budget)

@@ -1,7 +1,7 @@
 """Replays of a window of the event table in one plan, each with its SQL.
 
-Events come as in the momentum queries, but every fifth user falls silent early, every fifth is only talked of and ranked (so
-has no rung of the ladder), merges of two links are justified on many days of the window, and some categories change within it.
+Events come as in the momentum queries, but every fifth user falls silent early (half of these come back), every fifth is only
+talked of and ranked (so has no rung of the ladder), merges of two links are justified on many days of the window, and some categories change within it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import asof
 from driftline.operators.components import checkpoint
-from driftline.plans import hindcast
+from driftline.plans import hindcast, momentum
 from driftline.plans.composite_queries import END, KINDS, RAW, STATES
 from driftline.plans.registry import query, table
 
@@ -27,7 +27,8 @@ def raw(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Data
     """events, links, merges, entities and category history."""
     rows = table(spark, folder, "events")
     user = F.col("user_id")
-    heard = rows.where((user % 5 != 1) | (F.col("ts") <= F.lit("2024-01-08").cast("timestamp_ntz"))).where((user % 5 != 2) | F.col("event_type").isin("click", "purchase"))
+    early, late = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-04", "2024-01-25"))
+    heard = rows.where((user % 5 != 1) | (F.col("ts") <= early) | ((user % 10 == 1) & (F.col("ts") >= late))).where((user % 5 != 2) | F.col("event_type").isin("click", "purchase"))
     ranked = (user % 5 == 2) & (F.col("event_type") == "purchase")
     pick = lambda k: F.coalesce(F.when(ranked, F.lit(RANKED[k])), *(F.when(F.col("event_type") == kind, F.lit(x[k])) for kind, x in KINDS.items()))
     payload = F.format_string('{"%s": %d}', pick(2), F.floor("value"))
@@ -50,7 +51,7 @@ def reach(spark) -> DataFrame:
 RUN = "CAST(user_id // 1000000 AS INTEGER)"
 CANONICAL = "CASE WHEN u % 10 = 9 AND d >= DATE '2024-01-05' + CAST(u % 17 AS INTEGER) THEN CASE WHEN d >= DATE '2024-01-12' + CAST((u - 1) % 7 AS INTEGER) THEN u - 2 ELSE u - 1 END WHEN u % 10 = 8 AND d >= DATE '2024-01-12' + CAST(u % 7 AS INTEGER) THEN u - 1 ELSE u END"
 RUNS = f"""raw AS (SELECT event_id AS id, (d - DATE '2024-01-01') * 1000000 + {CANONICAL} AS user_id, kind, ts, CAST(ts AS DATE) AS day, value FROM
- (SELECT event_id, user_id AS u, CASE WHEN user_id % 5 = 2 AND event_type = 'purchase' THEN 'rank' ELSE event_type END AS kind, ts, floor(value) AS value, CAST(g.d AS DATE) AS d FROM events, generate_series(TIMESTAMP '{DAYS[0]}', TIMESTAMP '{DAYS[-1]}', INTERVAL 1 DAY) g(d) WHERE CAST(ts AS DATE) <= CAST(g.d AS DATE) AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND (user_id % 5 <> 1 OR ts <= TIMESTAMP '2024-01-08') AND (user_id % 5 <> 2 OR event_type IN ('click', 'purchase'))))"""
+ (SELECT event_id, user_id AS u, CASE WHEN user_id % 5 = 2 AND event_type = 'purchase' THEN 'rank' ELSE event_type END AS kind, ts, floor(value) AS value, CAST(g.d AS DATE) AS d FROM events, generate_series(TIMESTAMP '{DAYS[0]}', TIMESTAMP '{DAYS[-1]}', INTERVAL 1 DAY) g(d) WHERE CAST(ts AS DATE) <= CAST(g.d AS DATE) AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND (user_id % 5 <> 1 OR ts <= TIMESTAMP '2024-01-04' OR (user_id % 10 = 1 AND ts >= TIMESTAMP '2024-01-25')) AND (user_id % 5 <> 2 OR event_type IN ('click', 'purchase'))))"""
 REPLAY = (
     STATES.replace(RAW, RUNS)
     .replace("kind IN ('view', 'purchase', 'error')", "kind IN ('view', 'purchase', 'error', 'rank')")
@@ -78,20 +79,35 @@ def hindcast_trace(spark, folder):
     return hindcast.trace(replayed(spark, folder)[0]).withColumn("p", F.round("p", 6))
 
 
-@query(f"""WITH {REPLAY},
-fin AS (SELECT user_id % 1000000 AS e, day, arg_max(state, {RUN}) AS state, arg_max(p, {RUN}) AS p, arg_max(pv, {RUN}) AS pv FROM (SELECT st.*, c.provisional AS pv FROM st JOIN c USING (user_id)) GROUP BY ALL),
+FINAL = f"fin AS (SELECT user_id % 1000000 AS e, day, arg_max(state, {RUN}) AS state, arg_max(p, {RUN}) AS p, arg_max(pv, {RUN}) AS pv FROM (SELECT st.*, c.provisional AS pv FROM st JOIN c USING (user_id)) GROUP BY ALL)"
+
+
+@query(f"""WITH {REPLAY}, {FINAL},
 hot AS (SELECT e, CAST(date_trunc('week', day) AS DATE) AS week, max(CASE WHEN state = 'breakout' THEN 2 ELSE 1 END) AS rk, greatest(max(p), 0) AS pp FROM fin WHERE state IN ('breakout', 'accelerating') AND NOT pv AND date_trunc('week', day) >= DATE '2024-01-08' GROUP BY ALL),
 lc AS (SELECT user_id % 1000000 AS e, category, first_seen FROM c WHERE {RUN} = 27),
 nv AS (SELECT e, w.week, CASE WHEN row_number() OVER (PARTITION BY w.week, category ORDER BY first_seen, e) <= 3 THEN 1.0 WHEN count(*) OVER (PARTITION BY w.week, category) < 10 THEN 0.6 ELSE 0.3 END AS nov FROM lc, (SELECT DISTINCT week FROM hot) w),
-gt AS (SELECT hot.e, hot.week, category, CASE rk WHEN 2 THEN 1.0 ELSE 0.7 END * (0.5 + 0.5 * least(pp, 1)) AS m, CASE category WHEN 'agents' THEN 0.5 ELSE 0.0 END AS r, nov FROM hot JOIN lc USING (e) JOIN nv USING (e, week)),
-gs AS (SELECT *, m * (0.4 + 0.6 * r) * (0.4 + 0.6 * nov) AS score FROM gt)
-SELECT e AS entity_id, week, CASE WHEN r = 0 THEN 'unmapped' WHEN row_number() OVER (PARTITION BY week, r > 0 ORDER BY score DESC, e) <= 5 THEN 'pass' ELSE 'budget' END AS decision, round(score, 6) AS score FROM gs""")
+gt AS (SELECT hot.e, hot.week, category, CASE rk WHEN 2 THEN 1.0 ELSE 0.7 END * (0.5 + 0.5 * least(pp, 1)) AS m, CASE category WHEN 'agents' THEN 0.5 ELSE 0.0 END AS r, nov, e % 7 = 0 AND hot.week >= DATE '2024-01-15' AS recent, e % 4 <> 2 AS carded FROM hot JOIN lc USING (e) JOIN nv USING (e, week)),
+gs AS (SELECT *, m * (0.4 + 0.6 * r) * (0.4 + 0.6 * nov) AS score, r > 0 AND NOT recent AND carded AS ok FROM gt)
+SELECT e AS entity_id, week, CASE WHEN recent THEN 'recent' WHEN r = 0 THEN 'unmapped' WHEN NOT carded THEN 'card_pending' WHEN row_number() OVER (PARTITION BY week, ok ORDER BY score DESC, e) <= 5 THEN 'pass' ELSE 'budget' END AS decision, round(score, 6) AS score FROM gs""")
 def hindcast_gates(spark, folder):
     states, known = replayed(spark, folder)
-    found = hindcast.gates(checkpoint(states), known, reach(spark), DAYS)
+    ids = table(spark, folder, "events").select(F.col("user_id").alias("entity_id")).distinct()
+    briefed = ids.where("entity_id % 7 = 0").withColumn("published_at", F.lit("2024-01-10").cast("timestamp_ntz"))
+    old = ids.select("entity_id", F.lit(1).alias("version"), F.lit("ok").alias("status"))
+    cards = old.unionByName(ids.where("entity_id % 4 = 2").select("entity_id", F.lit(2).alias("version"), F.lit("failed").alias("status")))
+    found = hindcast.gates(checkpoint(states), known, reach(spark), DAYS, briefed, cards)
     return found.select("entity_id", "week", "decision", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {REPLAY}, {FINAL}, ft AS (SELECT e, min(day) FILTER (WHERE state = 'breakout') AS hot, arg_max(state, day) AS state FROM fin GROUP BY ALL), wd AS (SELECT *, lag(state) OVER (PARTITION BY e ORDER BY day) AS was FROM fin),
+fd AS (SELECT e, day FROM wd WHERE state = 'fading' AND was <> 'fading' AND day <= DATE '{DAYS[-1]}' - 3)
+SELECT 'breakout_survival' AS metric, round(avg(CASE WHEN state NOT IN ('dormant', 'fading') THEN 1.0 ELSE 0.0 END), 6) AS value, count(*) AS sample_n FROM ft WHERE hot <= DATE '{DAYS[-1]}' - 5
+UNION ALL SELECT 'fade_reaccel', round(avg(CASE WHEN EXISTS (SELECT 1 FROM fin WHERE fin.e = fd.e AND fin.day > fd.day AND fin.day <= fd.day + 3 AND fin.state IN ('breakout', 'accelerating')) THEN 1.0 ELSE 0.0 END), 6), count(*) FROM fd""")
+def hindcast_review(spark, folder):
+    kept = checkpoint(hindcast.stored(replayed(spark, folder)[0]))
+    return momentum.review(kept, DAYS[-1], 5, 3).withColumn("value", F.round("value", 6))
+
+
 WHO = f"(SELECT DISTINCT user_id AS u FROM events), generate_series(TIMESTAMP '{DAYS[0]}', TIMESTAMP '{DAYS[-1]}', INTERVAL 1 DAY) g(x)"
 
 

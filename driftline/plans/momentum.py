@@ -57,33 +57,49 @@ def field(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}").try_cast("double")
 
 
+def _matched(metrics: tuple[Metric, ...]) -> Column:
+    """What an event counts for: its metrics with their values, and its kind of evidence, as (spec, metric, kind, carry, value).
+
+    ``carry`` is for how many days a value goes on. A kind of evidence is a spec of its own after those of the metrics.
+    """
+    evidence = sorted({m.evidence for m in metrics})
+
+    def entry(spec: int, metric: str, kind: str, carry: int, value: Column) -> Column:
+        return F.struct(F.lit(spec).alias("spec"), F.lit(metric).alias("metric"), F.lit(kind).alias("kind"), F.lit(carry).alias("carry"), value.alias("value"))
+
+    none, out = F.lit(None).cast("double"), None
+    for source, event_type in dict.fromkeys((m.source, m.event_type) for m in metrics):
+        own = [(k, m) for k, m in enumerate(metrics) if (m.source, m.event_type) == (source, event_type)]
+        entries = [entry(k, m.name, m.kind, m.window_days - 1 if m.kind == "rolling" else m.fill_days, field(m.field) if m.field else none) for k, m in own]
+        last = own[-1][1].evidence  # of specs that share events, the later one's
+        entries.append(entry(len(metrics) + evidence.index(last), "evidence_breadth", "breadth", config.BREADTH_WINDOW - 1, none))
+        met = (F.col("source") == source) & (F.col("event_type") == event_type)
+        out = F.when(met, F.array(*entries)) if out is None else out.when(met, F.array(*entries))
+    return out
+
+
 def snapshot(stream: DataFrame, as_of: str, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
     """(entity_id, metric, day, value) of all metrics; where two specs give one metric a value on a day, the later spec's stays.
 
-    Specs of one kind and fill share a plan: their events are picked by a registry join of literals, not by a loop.
+    The stream is read once: an event becomes a row for each spec that it counts for, days are summed up, and the kinds differ
+    only in what a day's value is and how long it goes on. A counter is carried on to the next observation at most, and so is a
+    kind of evidence through its window, so breadth is the number of kinds that are still carried.
     """
-    end = as_of[:10]
-    parts = []
-    for k, m in enumerate(metrics):
-        rows = stream.where((F.col("source") == m.source) & (F.col("event_type") == m.event_type))
-        if m.field:
-            rows = rows.withColumn("value", field(m.field)).where("value IS NOT NULL")
-        if m.kind == "cumulative":
-            out = series.cumulative(rows, ["entity_id"], "occurred_at")
-        elif m.kind == "rolling":
-            out = series.trailing_sum(rows, ["entity_id"], "occurred_at", "value", m.window_days, end)
-        else:
-            out = series.daily_last(rows, ["entity_id"], "occurred_at", "id", "value")
-            out = series.forward_fill(out, ["entity_id"], m.fill_days, end) if m.fill_days else out
-        parts.append(out.select("entity_id", F.lit(m.name).alias("metric"), "day", F.col("value").cast("double").alias("value"), F.lit(k).alias("spec")))
-    kinds = {(m.source, m.event_type): m.evidence for m in metrics}
-    evidence = F.coalesce(*(F.when((F.col("source") == s) & (F.col("event_type") == e), v) for (s, e), v in kinds.items()))
-    breadth = series.trailing_distinct(stream.withColumn("evidence", evidence).where("evidence IS NOT NULL"), ["entity_id"], "occurred_at", "evidence", config.BREADTH_WINDOW, end)
-    parts.append(breadth.select("entity_id", F.lit("evidence_breadth").alias("metric"), "day", F.col("value").cast("double").alias("value"), F.lit(len(metrics)).alias("spec")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("entity_id", "metric", "day").agg(F.max_by("value", "spec").alias("value"))
+    end = F.lit(as_of[:10]).cast("date")
+    rows = stream.select("entity_id", "occurred_at", "id", F.explode(_matched(metrics)).alias("m")).select("entity_id", "occurred_at", "id", "m.*")
+    valued = F.when(F.col("value").isNotNull(), F.struct("occurred_at", "id"))
+    daily = rows.groupBy("entity_id", "spec", "metric", "kind", "carry", F.to_date("occurred_at").alias("day")).agg(F.max_by("value", valued).alias("last"), F.sum("value").alias("total"), F.count("*").alias("n"))
+    kind = F.col("kind")
+    daily = daily.where(kind.isin("cumulative", "breadth") | F.col("last").isNotNull())
+    order = Window.partitionBy("entity_id", "spec").orderBy("day")
+    following, so_far = F.lead("day").over(order), F.sum("n").over(order)
+    until = F.least(F.date_add("day", F.col("carry")), end)
+    until = F.when(kind == "rolling", until).otherwise(F.least(until, F.coalesce(F.date_sub(following, 1), until)))
+    value = F.when(kind == "cumulative", so_far).when(kind == "breadth", 1).when(kind == "rolling", F.col("total")).otherwise(F.col("last"))
+    spread = daily.withColumns({"value": value.cast("double"), "until": until}).where("until >= day").withColumn("day", F.explode(F.sequence("day", "until")))
+    summed = spread.groupBy("entity_id", "spec", "metric", "kind", "day").agg(F.sum("value").alias("value")).where("kind <> 'rolling' OR value > 0")
+    picked = F.when(F.first("kind") == "breadth", F.sum("value")).otherwise(F.max_by("value", "spec"))
+    return summed.groupBy("entity_id", "metric", "day").agg(picked.alias("value"))
 
 
 def facts(stream: DataFrame, entities: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
@@ -150,7 +166,8 @@ def score(stream: DataFrame, values: DataFrame, people: DataFrame, promotions: D
     end = F.lit(as_of[:10]).cast("date")
     cohorts = series.cohorts(people, "key", "fallback").select("entity_id", "first_seen", "cohort", "cohort_n", "provisional")
     grid = cohorts.where(F.col("first_seen") <= end).withColumn("day", F.explode(F.sequence("first_seen", end)))
-    return daily_states(grid, velocity(values, people), stream, promotions)
+    daily = signals(changed(values).join(cohorts, "entity_id"), breadth(values))
+    return daily_states(grid, daily, stream, promotions)
 
 
 def daily_states(grid: DataFrame, daily: DataFrame, stream: DataFrame, promotions: DataFrame, series_key: str = "entity_id") -> DataFrame:
@@ -207,12 +224,13 @@ def review(states: DataFrame, as_of: str, survival: int = config.SURVIVAL_DAYS,
     end = F.lit(as_of[:10]).cast("date")
     first = states.where(F.col("day") <= end).groupBy("entity_id").agg(F.min(F.when(F.col("state") == "breakout", F.col("day"))).alias("hot"), F.max_by("state", "day").alias("state"))
     old = first.where(F.col("hot") <= F.date_sub(end, survival)).select((~F.col("state").isin("dormant", "fading")).cast("double").alias("x"))
-    was = F.lag("state").over(Window.partitionBy("entity_id").orderBy("day"))
-    fades = states.withColumn("was", was).where("state = 'fading' AND was <> 'fading'").select("entity_id", F.col("day").alias("faded")).where(F.col("faded") <= F.date_sub(end, window))
-    hot = states.where(F.col("state").isin("breakout", "accelerating")).select("entity_id", "day")
-    back = fades.join(hot, "entity_id", "left").groupBy("entity_id", "faded").agg(F.coalesce(F.bool_or((F.col("day") > F.col("faded")) & (F.col("day") <= F.date_add("faded", window))), F.lit(False)).cast("double").alias("x"))
+    order = Window.partitionBy("entity_id").orderBy("day")
+    hot = F.min(F.when(F.col("state").isin("breakout", "accelerating"), F.col("day"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    seen = states.withColumns({"was": F.lag("state").over(order), "next_hot": hot})
+    fades = seen.where("state = 'fading' AND was <> 'fading'").where(F.col("day") <= F.date_sub(end, window))
+    back = fades.select(F.coalesce(F.col("next_hot") <= F.date_add("day", window), F.lit(False)).cast("double").alias("x"))
     one = lambda df, name: df.agg(F.avg("x").alias("value"), F.count("*").alias("sample_n")).select(F.lit(name).alias("metric"), "value", "sample_n")
-    return one(old, "breakout_survival").unionByName(one(back.select("x"), "fade_reaccel"))
+    return one(old, "breakout_survival").unionByName(one(back, "fade_reaccel"))
 
 
 def changes(stream: DataFrame, states: DataFrame, promotions: DataFrame, decisions: DataFrame, day: str, before: str) -> DataFrame:
