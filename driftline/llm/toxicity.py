@@ -37,7 +37,7 @@ FAIR, RIDGE = 1.0, 2e-3
 STEPS, RATE = 200, 0.1
 THRESHOLD = 0.3
 #: Entries of a worker's memo before it starts anew.
-MEMO = 200_000
+MEMO, SHORT = 200_000, 64
 #: Words that name groups of people.
 GROUPS = """women men woman man girls boys gay lesbian straight transgender bisexual black white asian african latino
 european american muslim christian jewish hindu buddhist atheist immigrant immigrants refugee refugees disabled deaf
@@ -163,15 +163,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float
 
 
 class Memo(dict):
-    """White-space-delimited chunk to the places in it that have a weight."""
+    """White-space-delimited chunk to the places in it that have a weight.
+
+    At most ``MEMO`` chunks of at most ``SHORT`` characters are kept, so that texts without blanks don't fill it.
+    """
 
     def __init__(self, weights: dict[int, float]):
         self.weights = weights
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[chunk] = tuple(p for w in WORD.findall(chunk) for p in places(w) if p in self.weights)
+        out = tuple(p for w in WORD.findall(chunk) for p in places(w) if p in self.weights)
+        if len(chunk) <= SHORT:
+            if len(self) >= MEMO:
+                self.clear()
+            self[chunk] = out
         return out
 
 

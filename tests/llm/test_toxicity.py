@@ -91,3 +91,13 @@ def test_repeated_ids_contradictions_and_long_texts(spark):
     assert held and held[0] <= len(rows)
     assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"mine"}
     assert kept.where("doc_id = 5000").count() == 1
+
+
+def test_memo_keeps_no_text_without_blanks(monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO", 50)
+    own, free = toxicity.Memo({p: 1.0 for p in toxicity.places("idiot")}), toxicity.Memo({})
+    texts = ["日本語" * 20_000, "QUJD" * 30_000, *(f"word{k}" for k in range(200)), "idiot"]
+    for x in texts:
+        own[x], free[x]
+        assert len(own) <= 50 and all(len(c) <= toxicity.SHORT for c in own)
+    assert set(own["idiot"]) == set(toxicity.places("idiot")) and own["x" * 100 + " idiot"] and not free["idiot"]
