@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.graph import top_per
@@ -81,13 +81,12 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: str, price_out: str) -
     return ((tokens_in * F.lit(price_in).cast("decimal(12,6)") + tokens_out * F.lit(price_out).cast("decimal(12,6)")) / F.lit(1_000_000)).cast("decimal(18,6)")
 
 
-def days_between(spark: SparkSession, first: str, last: str, step: int = 1) -> DataFrame:
-    """The days to replay of a window."""
-    a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
-    return spark.range(1).select(F.explode(F.sequence(a, b, F.make_dt_interval(F.lit(step)))).alias("day"))
+def replay_days(cases: DataFrame, first: str, last: str, step: int = 1) -> DataFrame:
+    """Cases with ``day``, each of the days to replay of their windows."""
+    return cases.withColumn("day", F.explode(F.sequence(F.col(first).cast("date"), F.col(last).cast("date"), F.make_dt_interval(F.lit(step)))))
 
 
-def weeks_between(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """The Mondays of the ISO weeks that a window touches."""
-    a = F.to_date(F.date_trunc("week", F.lit(first).cast("date")))
-    return spark.range(1).select(F.explode(F.sequence(a, F.lit(last).cast("date"), F.make_dt_interval(F.lit(7)))).alias("week"))
+def replay_weeks(cases: DataFrame, first: str, last: str) -> DataFrame:
+    """Cases with ``week``, the Mondays of the ISO weeks that their windows touch."""
+    monday = F.to_date(F.date_trunc("week", F.col(first).cast("date")))
+    return cases.withColumn("week", F.explode(F.sequence(monday, F.col(last).cast("date"), F.make_dt_interval(F.lit(7)))))

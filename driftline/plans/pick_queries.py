@@ -84,14 +84,22 @@ def conversation_cost(spark, folder):
     return totals.select("conv_id", pick.cost(F.col("a"), F.col("b"), "3", "15").cast("double").alias("cost"))
 
 
-@query("SELECT DISTINCT CAST(g.x AS DATE) AS day FROM generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-02-27', INTERVAL 5 DAYS) g(x)")
+CASES = "c AS (SELECT user_id, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events GROUP BY user_id)"
+
+
+def cases(spark, folder):
+    """A window for each user, from their first event to their last."""
+    return table(spark, folder, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+
+
+@query(f"WITH {CASES} SELECT user_id, CAST(g.x AS DATE) AS day FROM c, generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 5 DAYS) g(x)")
 def replay_days(spark, folder):
-    return pick.days_between(spark, "2024-01-03", "2024-02-27", 5)
+    return pick.replay_days(cases(spark, folder), "a", "b", 5).select("user_id", "day")
 
 
-@query("SELECT DISTINCT CAST(date_trunc('week', g.x) AS DATE) AS week FROM generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-02-27', INTERVAL 1 DAY) g(x)")
+@query(f"WITH {CASES} SELECT DISTINCT user_id, CAST(date_trunc('week', g.x) AS DATE) AS week FROM c, generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY) g(x)")
 def replay_weeks(spark, folder):
-    return pick.weeks_between(spark, "2024-01-03", "2024-02-27")
+    return pick.replay_weeks(cases(spark, folder), "a", "b").select("user_id", "week")
 
 
 @query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
