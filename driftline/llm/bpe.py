@@ -28,9 +28,6 @@ from driftline.llm.common import alone, only, sliced, texts
 
 #: Bytes, about, that a worker keeps before it starts its memo anew; what an entry takes besides its characters; longest chunk kept.
 MEMO, ENTRY, SHORT = 250_000_000, 300, 64
-#: Pairs below one node of the segment tree.
-FAN = 16
-NONE, LAST = 1 << 96, (1 << 30) - 1
 #: The white space of the vocabulary files' patterns (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Python's splitters also take these for white space.
@@ -173,61 +170,57 @@ def count_symbols(symbols: list[int], vocabulary: Vocabulary) -> int:
 
 
 def encode_symbols(symbols: list[int], vocabulary: Vocabulary) -> list[int]:
-    """The ids after all merges, by a segment tree of minima over the adjacent pairs.
+    """The ids after all merges, by a binary segment tree of minima over the adjacent pairs, whatever their number.
 
-    A leaf holds the pair's rank and place, so the root is the leftmost pair of the lowest rank; a merge sets up to
-    three leaves and then the nodes above them, each the least of its ``FAN`` children, until no pair can merge. A piece
-    of few symbols is a root and its leaves only, so the leaves are closed up after a merge and hold just ranks.
+    ``tree[1]`` is the root, the children of x are 2x and 2x + 1, and the last m nodes are the leaves of the m pairs. A
+    leaf holds the pair's rank and place, so the root is the leftmost pair of the lowest rank. A merge sets up to three
+    leaves and climbs from each: from the pairs beside it until a node keeps its value, from its own to the root.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    get, merged, bits = vocabulary.ranks.get, vocabulary.merged, n.bit_length()
-    if n <= FAN + 1:
-        symbols = symbols[:]
-        leaves = [get(a << 20 | b, LAST) for a, b in zip(symbols, symbols[1:])]
-        while leaves and (root := min(leaves)) != LAST:
-            i = leaves.index(root)
-            s = symbols[i] = merged[root]
-            del symbols[i + 1], leaves[i]
-            if i < len(leaves):
-                leaves[i] = get(s << 20 | symbols[i + 1], LAST)
-            if i:
-                leaves[i - 1] = get(symbols[i - 1] << 20 | s, LAST)
-        return symbols
-    low, i = (1 << bits) - 1, -1
-    leaves = [NONE if (r := get(a << 20 | b)) is None else r << bits | i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
-    above = []
-    nodes = leaves
-    while len(nodes) > FAN:
-        nodes = [min(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
-        above.append(nodes)
-    top = min(nodes)
-    if top == NONE:
+    get, merged, bits, m = vocabulary.ranks.get, vocabulary.merged, n.bit_length(), n - 1
+    none = 1 << bits + 20  # above all keys, as ids and so ranks have 20 bits
+    tree = [none] * m + [none if (r := get(a << 20 | b)) is None else r << bits | i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+    for x in range(m - 1, 0, -1):
+        a, b = tree[x + x], tree[x + x + 1]
+        tree[x] = a if a < b else b
+    top = tree[1]
+    if top == none:
         return symbols
-    symbols, after, before = symbols[:], list(range(1, n + 1)), list(range(-1, n - 1))
-    while top != NONE:
+    symbols, after, before, low = symbols[:], list(range(1, n + 1)), list(range(-1, m)), (1 << bits) - 1
+    while top != none:
         i = top & low
         j = after[i]
         s = symbols[i] = merged[top >> bits]
         symbols[j] = -1
-        leaves[i] = NONE
         k = after[i] = after[j]
+        own = none
         if k < n:
-            leaves[j] = NONE
             before[k] = i
             if (r := get(s << 20 | symbols[k])) is not None:
-                leaves[i] = r << bits | i
+                own = r << bits | i
+            x, least = m + j, none
+            while x and tree[x] != least:
+                tree[x] = least
+                if (other := tree[x ^ 1]) < least:
+                    least = other
+                x >>= 1
         h = before[i]
         if h >= 0:
-            leaves[h] = NONE if (r := get(symbols[h] << 20 | s)) is None else r << bits | h
-        if above:
-            below, at = leaves, {max(h, 0) // FAN, i // FAN, min(j, n - 2) // FAN}
-            for nodes in above:
-                for x in at:
-                    nodes[x] = min(below[x * FAN : x * FAN + FAN])
-                below, at = nodes, {x // FAN for x in at}
-        top = min(nodes)
+            x, least = m + h, none if (r := get(symbols[h] << 20 | s)) is None else r << bits | h
+            while x and tree[x] != least:
+                tree[x] = least
+                if (other := tree[x ^ 1]) < least:
+                    least = other
+                x >>= 1
+        x = m + i
+        while x > 1:
+            tree[x] = own
+            if (other := tree[x ^ 1]) < own:
+                own = other
+            x >>= 1
+        top = tree[1] = own
     return [s for s in symbols if s >= 0]
 
 

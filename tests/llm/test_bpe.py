@@ -49,6 +49,20 @@ def test_both_mergers_agree():
         assert len(bpe.encode_symbols(symbols, v)) == bpe.count_symbols(symbols, v)
 
 
+def test_the_tree_merges_as_a_plain_scan_does():
+    """Every piece, short or long, has the ids of a scan for the leftmost pair of the lowest rank."""
+    v = bpe.Vocabulary(BYTE)
+    rng = random.Random(9)
+    for n in [*range(1, 70)] * 6 + [127, 128, 129, 255, 256, 257, 600]:
+        symbols = v.symbols("".join(rng.choice("aentio rshdé") for _ in range(n)))
+        plain = symbols[:]
+        while found := [(v.ranks[k], i) for i, (a, b) in enumerate(zip(plain, plain[1:])) if (k := a << 20 | b) in v.ranks]:
+            rank, i = min(found)
+            plain[i : i + 2] = [v.merged[rank]]
+        kept = symbols[:]
+        assert bpe.encode_symbols(symbols, v) == plain and symbols == kept
+
+
 def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
