@@ -4,11 +4,15 @@ A row of a source should be taken target / source size times. The whole part is
 rounded to 0 or 1 by pivots: two rows with fractional p exchange mass, sized by their words, until one of them becomes
 integral, so that each row keeps its expectation and the source's words are kept exactly. Groups of about ``FAN`` rows
 are folded this way, each leaving at most one fractional row; these residuals are folded again, in a reduction tree
-that ends with at most one row for each source, so the words taken differ from the target by less than one row's.
-
-All work is in DataFrame functions. Draws are hashes of the row and its group, so reruns agree. A group is picked by
-hash of the row among as many as the source's row count asks for, so a hot source has many groups and no task gets all
-of it; a group that rows of the same id and text crowd is dealt further by their place in the input. The tree holds ids,
+that ends with at most one row for each source, so the words taken differ from the target by less than one row's. Folds
+go from long rows to short ones, and ``STEPS`` rows of each size, by powers of two, are kept for the top of the tree: the
+residual walks down these steps, so that the row left last is a short one of its source, unless one row is many times
+as long as the next.
+
+All work is in DataFrame functions. Draws are hashes of the row and its group, so reruns agree, also over other splits of
+the input. A group is picked by hash of the row among as many as the source's row count asks for, so a hot source has
+many groups and no task gets all of it; a group that rows of the same id and text crowd is dealt further by their number
+among rows that are equal in all that is kept of them, so it doesn't matter which gets which number. The tree holds ids,
 sizes and hashes, never texts.
 
 Null texts have size 0; rows without words are taken 0 times. A null source is a source, last in order. Rows that
@@ -25,6 +29,8 @@ from driftline.llm.common import checkpoint
 
 #: Rows that are folded at once, about.
 FAN = 64
+#: Rows of each source and each power of two in size that are folded last.
+STEPS = 64
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 #: A source's target is at most so many times its size.
@@ -113,6 +119,17 @@ def _draw(*of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 11) * F.lit(2.0**-53)
 
 
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Adds number: 0, 1, ... among the rows that are equal in ``key``, counted in each part of the input and then over the parts."""
+    part = F.shiftright("place", 33)  # the part that a monotonically increasing id is from
+    rows = rows.withColumn("part", part).withColumn("number", F.row_number().over(Window.partitionBy(*key, "part").orderBy("place")))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key, "part").agg(F.count("*").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"counts.{c}")) for c in [*key, "part"]]
+    joined = rows.alias("rows").join(counts.alias("counts"), same)
+    return joined.select("rows.*", "before").withColumn("number", F.col("number") - 1 + F.col("before")).drop("part", "before")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 1, identity: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (copies times size) and copies of each row.
 
@@ -128,14 +145,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     whole = F.floor(F.col("rate") + EPS)
     rows = rows.withColumn("whole", whole).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0))
     blank, rows = rows.where("size = 0"), rows.where("size > 0")  # rows without words are taken 0 times, apart from the tree
-    # the bottom of the tree: rows by hash into groups, in order of size
+    # steps of each size for the top of the tree: each is a group of its own, below 0, until then
+    size_of = F.floor(F.log2("size")).cast("int")
+    fair = F.xxhash64("salt", "size", F.lit(seed), F.lit("step"))
+    of_size = Window.partitionBy("source", "octave").orderBy("fair", "doc_id", "salt", "size", *own, "place")
+    steps = rows.select("source", "doc_id", "salt", "size", *own, "place", size_of.alias("octave"), fair.alias("fair"))
+    steps = steps.withColumn("rung", F.row_number().over(of_size)).where(F.col("rung") <= STEPS)
+    steps = steps.select(F.col("place").alias("step"), (-1 - F.col("octave") * STEPS - F.col("rung")).cast("long").alias("own_g"))
+    rows = rows.join(steps, F.col("place") == F.col("step"), "left").drop("step")
+    # the bottom of the tree: the other rows by hash into groups, in order of size
     groups = F.greatest(F.ceil(F.col("n") / FAN), F.lit(1))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("salt", "size", F.lit(seed)), groups))
+    rows = checkpoint(rows.drop("of").withColumn("g", F.coalesce("own_g", F.pmod(F.xxhash64("salt", "size", F.lit(seed)), groups))).drop("own_g"))
     crowded = rows.groupBy(F.col("source").alias("of"), F.col("g").alias("to")).agg(F.count("*").alias("held")).where(F.col("held") > 4 * FAN)
-    rows = rows.drop("of").join(crowded, F.col("source").eqNullSafe(F.col("of")) & (F.col("g") == F.col("to")), "left")
-    piece = F.coalesce(F.pmod(F.xxhash64("place", F.lit(seed)), F.ceil(F.col("held") / FAN)), F.lit(0))
-    rows = rows.withColumn("g", F.col("g") + groups * piece)
-    unit = F.struct("size", "doc_id", "salt", "place", "whole", "p", *own)
+    rows = rows.join(crowded, F.col("source").eqNullSafe(F.col("of")) & (F.col("g") == F.col("to")), "left").drop("of", "to")
+    key = ["source", "doc_id", "salt", "size", *own]
+    dealt = _numbered(rows.where("held IS NOT NULL"), key)
+    piece = F.pmod(F.xxhash64("salt", "number", F.lit(seed)), F.ceil(F.col("held") / FAN))
+    dealt = dealt.withColumn("g", F.col("g") + groups * piece).drop("number")
+    rows = rows.where("held IS NULL").unionByName(dealt)
+    unit = F.struct("size", "doc_id", "salt", *own, "whole", "p")
     below = rows.groupBy("source", "g").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"), *(F.first(c).alias(c) for c in ("source_size", "target", "n")))
     draw = lambda x, i: _draw(x["salt"], F.col("g"), i, F.lit(seed))
     inputs = F.transform("units", lambda x, i: F.struct(i.cast("long").alias("at"), x["p"].alias("p"), x["size"].cast("double").alias("size"), draw(x, i).alias("u")))
@@ -148,7 +176,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
         salt = F.lit(seed + len(levels))
         most = -(-most // FAN)
         groups = F.greatest(F.ceil(F.col("n") / FAN), F.lit(1)) if most > 1 else F.lit(1)
-        now = now.groupBy("source", F.pmod(F.xxhash64("at", salt), groups).alias("g")).agg(F.sort_array(F.collect_list(F.struct("size", "at", "p")), asc=False).alias("units"), F.first("n").alias("n"))
+        group = F.pmod(F.xxhash64("at", salt), groups)
+        group = F.when(F.col("at") < 0, F.col("at")).otherwise(group) if most > 1 else group
+        now = now.groupBy("source", group.alias("g")).agg(F.sort_array(F.collect_list(F.struct("size", "at", "p")), asc=False).alias("units"), F.first("n").alias("n"))
         inputs = F.transform("units", lambda x: F.struct(x["at"].alias("at"), x["p"].alias("p"), x["size"].alias("size"), _draw(x["at"], x["size"], salt).alias("u")))
         levels.append(checkpoint(now.select("source", "g", "n", _fold(inputs).alias("fold"))))
         if most <= 1:

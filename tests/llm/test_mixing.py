@@ -109,3 +109,21 @@ def test_rows_of_one_id_are_dealt_over_groups(spark, monkeypatch):
 def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "w " * 2_000_000, "s"), (2, "w", "s")], "doc_id long, text string, source string")
     assert sorted((r.size, r.taken) for r in mixing.mix(docs).collect()) == [(1, 1), (2_000_000, 2_000_000)]
+
+
+def test_other_splits_of_rows_that_crowd_a_group(spark):
+    """3,000 equal rows, some of them apart in what is kept beside them, among others of their source."""
+    rows = [(1, "a b c", "s", "xy"[i % 2]) for i in range(3000)] + [(None, "d e", "s", None)] * 700 + [(10 + i, "w " * (1 + i % 50), "s", "z") for i in range(497)] + [(9000 + i, "v " * 30, "t", "z") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string")
+    runs = [mixing.mix(docs.repartition(k), identity=F.col("kept")) for k in (1, 7)]
+    one, seven = (sorted(((r.doc_id, r.size, r.taken, r.copies, r.identity) for r in x.collect()), key=str) for x in runs)
+    assert len(one) == len(rows) and one == seven
+
+
+def test_what_a_source_takes_is_off_by_a_short_row_only(spark):
+    """Sources of long rows and a few short ones: the row left last is not a long one."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 500), "abc"[i % 3]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.percentile_approx("size", 0.25).alias("short")).collect():
+        assert abs(r.taken - r.target) < r.short
