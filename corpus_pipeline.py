@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, personal data, mixing to weights and encoding, one after another.
 
 Each stage takes the documents that the one before it kept and returns a table that is written and read again as the
-next one's documents. Toxic documents go; one document of each group of near-duplicates stays (five-word shingles,
-similarity 0.8); personal data is replaced by marks; documents are taken as often as the mix says, a repeated one as
+next one's documents. Toxic documents go; one document of each group of near-duplicates stays (SimHash with pivot tables
+for candidates, five-word shingles at a similarity of 0.8 to decide); personal data is replaced by marks; documents are taken as often as the mix says, a repeated one as
 repeated rows; the last stage returns the ids of each document.
 """
 
@@ -22,7 +22,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates, found by SimHash and decided by shingle sets."""
     return simhash.deduplicated(docs)
 
 

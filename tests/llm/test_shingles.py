@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,74 @@ def test_rows_that_share_an_id(spark):
         assert [r[:2] for r in got] == sorted([(1, one), (1, two)])
         assert first in (None, got)
         first = got
+
+
+def test_pairs_at_the_limit_are_within_the_bits():
+    """Sets of all sizes at a similarity of 0.8, of equal and of unlike length, pass the fingerprints' gate."""
+    rng = np.random.default_rng(7)
+    for shared, more, less in [(4, 1, 0), (8, 1, 1), (8, 2, 0), (12, 3, 0), (16, 2, 2), (80, 10, 10), (400, 50, 50), (400, 100, 0)]:
+        for _ in range(300):
+            a, b, c = (rng.integers(0, 1 << 64, n, np.uint64) for n in (shared, more, less))
+            one, two = (np.array(shingles.fingerprint(np.concatenate([a, x])), np.int64).view(np.uint64) for x in (b, c))
+            assert shingles.simhash.distances(one, two) <= shingles.BITS
+
+
+def test_fingerprints_of_sets_are_plain_majorities():
+    own = np.random.default_rng(8).integers(0, 1 << 64, 700, np.uint64)
+    words = [[int(x) for x in shingles.mixed(own * f)] for f in shingles.FACTORS[: shingles.WORDS]]
+    plain = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in w) > len(w)) for w in words]
+    assert [x % (1 << 64) for x in shingles.fingerprint(own)] == plain
+
+
+def test_groups_of_a_bucket_hang_together_by_bits():
+    rng = np.random.default_rng(9)
+    fps, bucket = [], []
+    for k in range(40):
+        base = rng.integers(0, 1 << 64, (1 + k % 3, shingles.WORDS), np.uint64)
+        for _ in range(1 + k):
+            x = base[rng.integers(len(base))].copy()
+            x[rng.integers(shingles.WORDS)] ^= rng.integers(0, 1 << 64, dtype=np.uint64) & np.uint64((1 << 62) - 1)
+            fps.append(x)
+            bucket.append(k)
+    label = list(range(len(fps)))
+    close = [(i, j) for i, j in itertools.combinations(label, 2) if bucket[i] == bucket[j] and sum(int(a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= 40]
+    for _ in range(40):
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
+    group, node = shingles.hanging(np.array(bucket), np.arange(len(fps)), np.array(fps), 40)
+    got = {}
+    for g, n in zip(group.tolist(), node.tolist()):
+        got.setdefault(g, []).append(n)
+    wanted = {}
+    for n, x in enumerate(label):
+        wanted.setdefault(x, []).append(n)
+    assert sorted(map(sorted, got.values())) == sorted(x for x in wanted.values() if len(x) > 1)
+
+
+def near_copies(spark, rng):
+    rows = []
+    for k in range(40):
+        words = [word(rng) for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "end"]))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_no_pair_passes_by_the_fingerprints(spark, monkeypatch):
+    """Every pair goes through the SimHash distances: where they let none pass, nothing is a near-duplicate."""
+    docs = near_copies(spark, random.Random(10))
+    assert shingles.deduplicated(docs).count() == 40
+    monkeypatch.setattr(shingles, "BITS", -1)
+    assert shingles.deduplicated(docs).count() == 80
+
+
+def test_fingerprint_blocks_find_pairs_by_themselves(spark):
+    """Without band keys, copies whose first words differ in three bits or fewer are still found."""
+    docs = near_copies(spark, random.Random(11))
+    plain = {r.doc_id: shingles.fingerprint(shingles.shingles(r.text))[0] % (1 << 64) for r in docs.collect()}
+    close = {2 * k + 1 for k in range(40) if (plain[2 * k] ^ plain[2 * k + 1]).bit_count() <= 3}
+    assert len(close) > 20
+    texts = docs.withColumn("digest", F.md5("text"))
+    rows = [(r.doc_id, r.doc_id, r.digest, len(own := shingles.shingles(r.text)), [], shingles.fingerprint(own)) for r in texts.collect()]
+    classes = spark.createDataFrame(rows, "node long, doc_id long, digest string, load long, keys array<long>, fp array<long>")
+    found = {max(r.src, r.dst) for r in shingles.links(classes, texts).collect()}
+    assert found >= close
