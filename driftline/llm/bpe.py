@@ -1,7 +1,8 @@
 """Byte-pair encoding over public vocabulary files.
 
 Two mergers share one vocabulary reader: ``count_symbols`` (heap and linked list; yields a count, no identifiers)
-and ``encode_symbols`` (segment tree over adjacent pair ranks). Both are memoised by white-space-delimited chunk in
+and ``encode_symbols`` (segment tree over adjacent pair ranks; ``encode_together`` steps through the trees of many pieces
+at once). Both are memoised by white-space-delimited chunk in
 each Python worker, as chunks repeat. Chunks over ``SHORT`` characters aren't kept, and the memo is emptied when what it
 keeps reaches about ``MEMO`` bytes, so memory stays bounded for any script. A piece of n symbols costs O(n log n) by
 either merger.
@@ -20,6 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ from driftline.llm.common import alone, only, sliced, texts
 
 #: Bytes, about, that a worker keeps before it starts its memo anew; what an entry takes besides its characters; longest chunk kept.
 MEMO, ENTRY, SHORT = 250_000_000, 300, 64
+#: Pieces whose trees are stepped through at once, and the most pairs of each.
+TOGETHER, PAIRS = 2048, 64
 #: The white space of the vocabulary files' patterns (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Python's splitters also take these for white space.
@@ -63,6 +67,8 @@ class Vocabulary:
         vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.pattern, self.invert = self._pattern(spec["pre_tokenizer"])
+        #: A piece of the public pattern is one piece by itself too, whatever stood beside it.
+        self.public = not any(p["type"] == "Split" for p in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]))
         self.normalises = self._normaliser(spec.get("normalizer"))
         symbols = byte_symbols()
         self.first = [vocab.get(s) for s in symbols]
@@ -74,6 +80,10 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank)
             self.merged.append(vocab[a + b])
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in self.pairs.tolist()], np.int64)
+        self.made = np.array(self.merged, np.int64)
+        self.byte_ranks = np.array([[-1 if a is None or b is None else self.ranks.get(a << 20 | b, -1) for b in self.first] for a in self.first], np.int64)
         back = {s: b for b, s in enumerate(symbols)}
         self.bytes_of: dict[int, bytes] = {}
         for token, i in vocab.items():
@@ -224,6 +234,62 @@ def encode_symbols(symbols: list[int], vocabulary: Vocabulary) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+def encode_together(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
+    """The ids of pieces of 2 to ``PAIRS`` + 1 bytes each: the trees of ``encode_symbols``, stepped through side by side.
+
+    A row is a piece; its tree has a power of two of leaves. Each step merges at the roots of all rows that aren't done,
+    sets the three leaves of each and climbs from them. Node 0 and the last symbol, which is none, take what falls off
+    the ends.
+    """
+    rows, width = len(pieces), max(map(len, pieces)) + 1
+    leaves, none, pairs = 1 << (width - 3).bit_length(), 1 << 40, vocabulary.pairs
+
+    def key(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        pair = a << 20 | b
+        at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        return np.where(pairs[at] == pair, vocabulary.pair_ranks[at] << 7 | place, none)
+
+    size, places = np.array([len(p) for p in pieces]), np.arange(width, dtype=np.int64)
+    data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(rows, width)
+    symbols = np.where(places < size[:, None], np.array(vocabulary.first, np.int64)[data], -1)
+    after, before = np.tile(np.minimum(places + 1, width - 1), (rows, 1)), np.tile(places - 1, (rows, 1))
+    tree = np.full((rows, 2 * leaves), none, np.int64)
+    ranks = vocabulary.byte_ranks[data[:, :-2], data[:, 1:-1]]
+    tree[:, leaves : leaves + width - 2] = np.where((ranks >= 0) & (places[1:-1] < size[:, None]), ranks << 7 | places[:-2], none)
+    level = leaves
+    while level > 1:
+        tree[:, level // 2 : level] = tree[:, level : 2 * level].reshape(rows, -1, 2).min(axis=2)
+        level //= 2
+    flat, ids, after, before = tree.reshape(-1), symbols.reshape(-1), after.reshape(-1), before.reshape(-1)
+    live = np.arange(rows)
+    while True:
+        top = flat[live * (2 * leaves) + 1]
+        left = top != none
+        live, top = live[left], top[left]
+        if not len(live):
+            break
+        at, root = live * width, live * (2 * leaves)
+        i, s = top & 127, vocabulary.made[top >> 7]
+        j = after[at + i]
+        k = after[at + j]
+        ids[at + i], ids[at + j], after[at + i], before[at + k] = s, -1, k, i
+        h = before[at + i]
+        sides = np.stack([i, h, j])
+        nodes = np.where(sides < 0, 0, leaves + sides)
+        nodes[2] = np.where(j < width - 2, nodes[2], 0)  # the last symbol begins no pair
+        flat[root + nodes[2]] = none
+        flat[root + nodes[0]] = key(s, ids[at + k], i)
+        flat[root + nodes[1]] = np.where(h < 0, none, key(ids[at + h], s, h))
+        for _ in range(leaves.bit_length() - 1):
+            nodes >>= 1
+            child = root + 2 * nodes
+            flat[root + nodes] = np.minimum(flat[child], flat[child + 1])
+    kept = symbols >= 0
+    ends = np.cumsum(kept.sum(axis=1)).tolist()
+    found = symbols[kept].tolist()
+    return [found[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Memo(dict):
     """Chunk to what was found for it, kept within bounds; ``found`` says what that is, and its bytes."""
 
@@ -279,22 +345,42 @@ class Encoder(Memo):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary)
         self.after_blank = AfterBlank(self)
+        self.ready: dict[str, list[int]] = {}
 
     def clear(self) -> None:
         super().clear()
         self.after_blank.clear()
+        self.ready.clear()
 
     def found(self, chunk: str) -> tuple[Encoded, int]:
         v = self.vocabulary
-        pieces = v.pattern.findall(chunk)
+        found = self.ready.get(chunk) if v.public else None
+        pieces = v.pattern.findall(chunk) if found is None else ()
         if len(pieces) > 1:  # pieces repeat more than chunks, so they are kept too
             n, ids, data = zip(*map(self.__getitem__, pieces))
             out = sum(n), ",".join(ids), b"".join(data)
         else:
-            found = [i for p in pieces for i in encode_symbols(v.symbols(p), v)]
+            found = found or [i for p in pieces for i in encode_symbols(v.symbols(p), v)]
             out = len(found), ",".join(map(str, found)), self.decode(found)
         return out, 2 * len(chunk) + len(out[1]) + len(out[2])
 
+    def prepare(self, rows: list[str]) -> None:
+        """Encodes together what is new among the pieces of texts that are cut at blanks; ``encode`` finds the others itself."""
+        v = self.vocabulary
+        self.ready.clear()
+        if v.suffix or not v.whole or not v.public:
+            return
+        words: set[str] = set()
+        for text in rows:
+            words.update(text.split(" "))
+        words.difference_update(self.after_blank)
+        pieces = set(v.pattern.findall(" " + " ".join(w for w in words if len(w) < SHORT))).difference(self)
+        new = sorted(pieces, key=len)
+        for k in range(0, len(new), TOGETHER):
+            names = [p for p in new[k : k + TOGETHER] if 2 <= len(p.encode()) <= PAIRS + 1]
+            if names:
+                self.ready.update(zip(names, encode_together([p.encode() for p in names], v)))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
@@ -361,7 +447,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Iterato
     alone(own)
     for batch in sliced(batches):
         columns: list[list] = [[], [], [], []]
-        for text in texts(batch):
+        rows = texts(batch)
+        own.prepare(rows)
+        for text in rows:
             n, ids, data = zip(*own.encode(text)) if text else ((), (), ())
             ids, decoded = ",".join(ids), b"".join(data).decode("utf-8", "replace")
             columns[0].append(sum(n))

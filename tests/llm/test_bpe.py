@@ -63,6 +63,29 @@ def test_the_tree_merges_as_a_plain_scan_does():
         assert bpe.encode_symbols(symbols, v) == plain and symbols == kept
 
 
+def test_trees_side_by_side_merge_as_one_alone_does():
+    """Pieces of all lengths together, with ends that don't merge, have the ids of each one's own tree."""
+    v = bpe.Vocabulary(BYTE)
+    rng = random.Random(11)
+    pieces = ["".join(rng.choice("aentio rshdé\x00日") for _ in range(rng.randrange(2, 22))) for _ in range(800)]
+    pieces += ["ab", "\x00\x01", "e" * 65, " the", "the" * 21]
+    for group in (pieces, pieces[-5:-4], pieces[-4:-3], [p for p in pieces if len(p.encode()) == 3]):
+        assert bpe.encode_together([p.encode() for p in group], v) == [bpe.encode_symbols(v.symbols(p), v) for p in group]
+
+
+def test_prepared_texts_have_the_same_ids(monkeypatch):
+    """What is prepared is what the library finds, and nearly all new pieces of plain texts are; a second time there are none."""
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
+    t, own = Tokenizer.from_file(BYTE), bpe.Encoder(bpe.Vocabulary(BYTE))
+    rows = samples()[:600] + [" some plain words, one after another: caffè 日本語 1234"]
+    own.prepare(rows)
+    assert len(own.ready) > 500
+    for x in rows:
+        assert [int(i) for f in own.encode(x) for i in f[1].split(",")] == t.encode(x, add_special_tokens=False).ids, repr(x)
+    own.prepare(rows[-1:])
+    assert own.ready == {}
+
+
 def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
