@@ -74,6 +74,25 @@ def test_digests_tell_only_what_changed(spark):
     assert {"unchanged", "renew"} <= set(got.values())
 
 
+@pytest.mark.parametrize("seed,most", [(3, 60), (4, 4), (5, 1)])
+def test_focus_nodes_with_the_same_others_share_a_leader(spark, seed, most):
+    """Twins of every type, with loops: one of them is grown, and each has what it would have alone, by rows and by digest."""
+    nodes, edges = made(seed, n=20, m=40)
+    for i in range(20):
+        nodes += [(100 + 20 * k + i, f"twin {k}", TYPES[i % 4]) for k in range(3)]
+        edges += [(100 + 20 * k + i, "a", x) for k in range(3) for x in (i, (i * 7 + 1) % 20)]
+    edges += [(100, "a", 100), (7, "loop", 7)]
+    focus = [i for i, _, _ in nodes]
+    e, n, f = tables(spark, nodes, edges, focus)
+    once = subgraph.shared(e, n, f, most)
+    assert once.heads.count() == len(focus) > once.heads.select("leader").distinct().count()
+    got, lines = subgraph.subgraphs(e, n, f, most)
+    want = [plain(nodes, edges, x, most) for x in focus]
+    assert sorted(map(tuple, got.collect())) == sorted(set().union(*(w[0] for w in want)))
+    assert sorted(map(tuple, lines.collect())) == sorted(set().union(*(w[1] for w in want)))
+    assert sorted(map(tuple, subgraph.shared_fingerprints(once, n).collect())) == sorted(map(tuple, subgraph.fingerprints(got, lines, n).collect()))
+
+
 def test_repeated_items_count(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b")], "k int, item string")
     got = {r.k: r.digest for r in subgraph.digests(rows, "k", "item").collect()}
