@@ -33,6 +33,11 @@ def found(spark, folder, changed: bool = False) -> tuple[DataFrame, DataFrame]:
     return subgraph.subgraphs(edges, nodes, focus, MOST)
 
 
+def marks(spark, folder, changed: bool = False) -> DataFrame:
+    edges, nodes, focus = graph(spark, folder, changed)
+    return subgraph.shared_fingerprints(subgraph.shared(edges, nodes, focus, MOST), nodes)
+
+
 SUPPLIERS = "(SELECT count(*) FROM supplier)"
 GROWN = f"""ed AS (SELECT 'P' || p_partkey AS src, 'developed_by' AS edge_type, 'S' || p_partkey % {SUPPLIERS} AS dst FROM part UNION ALL SELECT 'C' || c_custkey, 'employed_by', 'S' || c_custkey * 7 % {SUPPLIERS} FROM customer UNION ALL SELECT 'C' || c_custkey, 'formerly_at', 'S' || c_custkey * 11 % {SUPPLIERS} FROM customer WHERE c_custkey % 3 = 0),
 nb AS (SELECT src AS node, dst AS other FROM ed UNION SELECT dst, src FROM ed),
@@ -66,8 +71,7 @@ LANE = "sum(CAST('0x' || substr(h, {k}, 15) AS HUGEINT))"
 
 @query(f"WITH {GROWN}, {NAMED} SELECT focus, sha256(concat_ws(',', count(*), {', '.join(LANE.format(k=1 + 15 * k) for k in range(4))})) AS digest FROM it GROUP BY focus")
 def subgraph_digests(spark, folder):
-    nodes, edges = found(spark, folder)
-    return subgraph.fingerprints(nodes, edges, graph(spark, folder)[1])
+    return marks(spark, folder)
 
 
 OLD = GROWN.replace("WHERE c_custkey % 3 = 0)", "WHERE c_custkey % 3 = 0 AND c_custkey <> 9)")
