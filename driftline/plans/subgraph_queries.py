@@ -28,8 +28,8 @@ def graph(spark, folder, changed: bool = False) -> tuple[DataFrame, DataFrame, D
     return made.unionByName(works).unionByName(was), nodes, nodes.where("type = 'project'").select(F.col("node").alias("focus"))
 
 
-def found(spark, folder, changed: bool = False) -> tuple[DataFrame, DataFrame]:
-    edges, nodes, focus = graph(spark, folder, changed)
+def found(spark, folder) -> tuple[DataFrame, DataFrame]:
+    edges, nodes, focus = graph(spark, folder)
     return subgraph.subgraphs(edges, nodes, focus, MOST)
 
 
@@ -81,6 +81,5 @@ OLD = GROWN.replace("WHERE c_custkey % 3 = 0)", "WHERE c_custkey % 3 = 0 AND c_c
 SELECT 'P' || p_partkey AS focus, CASE WHEN a.l IS NULL THEN 'empty' WHEN a.l = b.l THEN 'unchanged' ELSE 'renew' END AS decision FROM part LEFT JOIN a ON a.focus = 'P' || p_partkey LEFT JOIN b ON b.focus = 'P' || p_partkey""")
 def subgraphs_to_renew(spark, folder):
     """One edge is new: only the sub-graphs that show it, or whose cut it changes, are to be renewed."""
-    _, names, focus = graph(spark, folder)
-    now, before = (subgraph.fingerprints(*found(spark, folder, changed), names) for changed in (False, True))
-    return subgraph.to_renew(focus, now, before).drop("digest")
+    now, before = (marks(spark, folder, changed) for changed in (False, True))
+    return subgraph.to_renew(graph(spark, folder)[2], now, before).drop("digest")
