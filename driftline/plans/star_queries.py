@@ -48,8 +48,7 @@ SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM s a JOIN s b
 def category_overlap_pairs(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", "p_brand")
     sold = table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
-    pairs = sold.withColumnRenamed("l_suppkey", "a").join(sold.withColumnRenamed("l_suppkey", "b"), "p_brand").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return graph.top_per(pairs, ["a"], [F.desc("shared"), F.col("b")], 3)
+    return graph.top_overlaps(sold, "l_suppkey", "p_brand", 3)
 
 
 @query("SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' GROUP BY ALL")

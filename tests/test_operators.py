@@ -167,3 +167,26 @@ def test_entities_are_read_as_the_standard_library_does(spark):
         assert r.u == (None if r.t is None else html.unescape(r.t) if "&#0;" not in r.t else r.t), r
     page = "<p>one</p><script>var a = 1;"
     assert spark.createDataFrame([(page,)], "t string").select(text.html_to_text(F.col("t"))).first()[0].strip() == "one"
+
+
+@pytest.mark.parametrize("items,most", [(3, 3), (8, 4), (2000, 60)])
+def test_largest_overlaps_equal_all_pairs(spark, items, most):
+    """Few kinds of sets, so that blocks suffice, and mixed ones, which need all later blocks; nulls and repeats."""
+    rng = random.Random(items)
+    sets = {k: set(rng.sample(range(items), rng.randrange(1, most + 1))) for k in rng.sample(range(-50, 500), 120)}
+    rows = [(k, f"i{x}") for k, s in sets.items() for x in s for _ in range(rng.randrange(1, 3))] + [(None, "i0"), (1000, None)]
+    want = set()
+    for a in sets:
+        found = sorted((-len(sets[a] & sets[b]), b) for b in sets if b > a and sets[a] & sets[b])[:3]
+        want |= {(a, b, -n) for n, b in found}
+    df = spark.createDataFrame(rows, "k long, item string")
+    for block in (16, graph.BLOCK):
+        assert sorted(map(tuple, graph.top_overlaps(df, "k", "item", 3, block).collect())) == sorted(want)
+    assert graph.top_overlaps(df.limit(0), "k", "item", 3).count() == 0
+
+
+def test_largest_overlaps_of_one_hot_item_make_no_pairs_of_all(spark):
+    """Sixty thousand keys with the same items: two billion pairs of which only neighbours are looked at."""
+    df = spark.range(60_000).selectExpr("id AS k", "explode(sequence(1, 25)) AS item")
+    got = graph.top_overlaps(df, "k", "item", 3).agg(F.count("*"), F.max(F.col("b") - F.col("a")), F.min("shared")).first()
+    assert tuple(got) == (3 * 60_000 - 6, 3, 25)
