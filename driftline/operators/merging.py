@@ -1,10 +1,13 @@
 """Merging in order: which references, taken one after another, join two entities, and who survives each time.
 
 A reference merges the current roots of its two ends, the smaller by (is a paper, created_at, id) surviving, so what it does
-depends on those before it. Taken sequentially that is a loop over all references; here the order is halved again and again.
-With the first half of a block's references as edges, connected components give the roots that its second half begins with,
-so both halves go on by themselves, all blocks of a level at once. After log2(references / LEAF) levels blocks are of at most
+depends on those before it. Taken sequentially that is a loop over all references; here the order is cut again and again.
+With the references before a part of a block as edges, connected components give the roots that this part begins with,
+so all four parts go on by themselves, all blocks of a level at once. After log4(references / LEAF) levels blocks are of at most
 ``LEAF`` references, and each is walked through by itself. Every merge comes out with the reference that caused it.
+
+Entities go by their place in the order of survival, so that a reference is three numbers; and levels are few and blocks large, as
+each level takes some dozens of jobs, all of which the driver keeps books on.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 from driftline.operators.components import checkpoint, connected_components
 
-#: References that one task walks through.
-LEAF = 4096
+#: References that one task walks through; a block is cut into 2 ** PARTS parts.
+LEAF, PARTS = 1 << 18, 2
 #: How sure a rule is.
 CONFIDENCE = {"R1": 0.99, "R2": 0.97, "R3": 0.97}
 
@@ -43,15 +46,11 @@ def survivor_key(paper: Column, created_at: Column, entity_id: Column) -> Column
     return F.concat(F.when(paper, "1").otherwise("0"), wide(F.unix_micros(created_at.cast("timestamp")), 10**18), wide(entity_id, 2**63))
 
 
-def entity_of(key: Column) -> Column:
-    return (F.substring(key, 22, 20).cast("decimal(38,0)") - F.lit(str(2**63)).cast("decimal(38,0)")).cast("long")
-
-
 def _walk(block: pd.DataFrame) -> pd.DataFrame:
     """The merges of one block, its references in order."""
-    up: dict[str, str] = {}
+    up: dict[int, int] = {}
 
-    def root(x: str) -> str:
+    def root(x: int) -> int:
         while x in up:
             if up[x] in up:
                 up[x] = up[up[x]]
@@ -64,7 +63,7 @@ def _walk(block: pd.DataFrame) -> pd.DataFrame:
         if a != b:
             up[b] = a
             out.append((position, b, a))
-    return pd.DataFrame(out, columns=["position", "loser", "survivor"])
+    return pd.DataFrame(out, columns=["position", "loser", "survivor"], dtype="int64")
 
 
 def ordered_merges(references: DataFrame, entities: DataFrame, order: list[str | Column], leaf: int = LEAF) -> DataFrame:
@@ -74,25 +73,28 @@ def ordered_merges(references: DataFrame, entities: DataFrame, order: list[str |
     Each entity loses at most once; following losers to survivors leads to the smallest entity of all that are joined.
     """
     key = survivor_key(F.col("entity_type") == "paper", F.col("created_at"), F.col("id"))
-    known = entities.groupBy("id").agg(F.min(key).alias("key"))
-    ends = [known.select(F.col("id").alias(x), F.col("key").alias(k)) for x, k in (("a", "u"), ("b", "v"))]
-    rows = references.where("a <> b").join(ends[0], "a").join(ends[1], "b")
-    rows = checkpoint(numbered(rows, order))
-    edges = rows.select("position", "u", "v")
-    leaf_bits = max(1, leaf).bit_length() - 1
-    for bit in reversed(range(leaf_bits, max(0, rows.count() - 1).bit_length())):
-        block = F.shiftright("position", bit + 1)
-        late = F.shiftright("position", bit) % 2 == 1
-        node = lambda k, block=block: F.concat(F.lpad(block.cast("string"), 19, "0"), F.lit("|"), F.col(k))
-        roots = connected_components(edges.where(~late).select(node("u").alias("src"), node("v").alias("dst")))
-        roots = roots.select("node", F.substring("component", 21, 41).alias("root"))
-        second = edges.where(late)
+    known = checkpoint(numbered(entities.groupBy("id").agg(F.min(key).alias("key")), ["key"], "rank").select("id", "rank"))
+    n = max(1, known.count())
+    ends = [known.select(F.col("id").alias(x), F.col("rank").alias(k)) for x, k in (("a", "u"), ("b", "v"))]
+    rows = numbered(references.where("a <> b").join(ends[0], "a").join(ends[1], "b"), order)
+    edges = checkpoint(rows.select("position", "u", "v"))
+    leaf_bits, bits = max(1, leaf).bit_length() - 1, max(0, edges.count() - 1).bit_length()
+    while bits > leaf_bits:
+        step = min(PARTS, bits - leaf_bits)
+        bits -= step
+        at, part = F.shiftright("position", bits), F.shiftright("position", bits) % (1 << step)
+        node = lambda k: F.col("at") * n + F.col(k)
+        later = edges.where(part < (1 << step) - 1).select(F.explode(F.sequence(at + 1, at - part + (1 << step) - 1)).alias("at"), "u", "v")
+        roots = connected_components(later.select(node("u").alias("src"), node("v").alias("dst")))
+        roots = roots.select("node", (F.col("component") % n).alias("root"))
+        rest = edges.where(part > 0).withColumn("at", at)
         for k in ("u", "v"):
-            second = second.withColumn("node", node(k)).join(roots, "node", "left").withColumn(k, F.coalesce("root", k)).drop("node", "root")
-        edges = checkpoint(edges.where(~late).unionByName(second.where("u <> v")))
-    merges = edges.groupBy(F.shiftright("position", leaf_bits).alias("block")).applyInPandas(_walk, "position long, loser string, survivor string")
-    merges = merges.select("position", entity_of(F.col("loser")).alias("loser_id"), entity_of(F.col("survivor")).alias("survivor_id"))
-    return rows.drop("u", "v").join(merges, "position")
+            rest = rest.withColumn("node", node(k)).join(roots, "node", "left").withColumn(k, F.coalesce("root", k)).drop("node", "root")
+        edges = checkpoint(edges.where(part == 0).unionByName(rest.where("u <> v").drop("at")))
+    merges = edges.groupBy(F.shiftright("position", leaf_bits).alias("block")).applyInPandas(_walk, "position long, loser long, survivor long")
+    for k in ("loser", "survivor"):
+        merges = merges.join(known.select(F.col("rank").alias(k), F.col("id").cast("long").alias(f"{k}_id")), k)
+    return rows.drop("u", "v").join(merges.drop("loser", "survivor"), "position")
 
 
 def audit(merges: DataFrame) -> DataFrame:

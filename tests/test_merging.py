@@ -67,6 +67,18 @@ def test_halving_down_to_pairs(spark, shape):
     assert sorted(map(tuple, got)) == sequential(refs, entities)
 
 
+def test_levels_are_few(spark, monkeypatch):
+    """Each level is a components job; blocks are cut in four, and what a task can walk through takes none."""
+    jobs, components = [], merging.connected_components
+    monkeypatch.setattr(merging, "connected_components", lambda edges: jobs.append(1) or components(edges))
+    entities, refs = made(6, n=300, m=5000)
+    for leaf, levels in ((1250, 2), (merging.LEAF, 0)):
+        jobs.clear()
+        got = merging.ordered_merges(*tables(spark, entities, refs), ["k"], leaf).select("k", "loser_id", "survivor_id").collect()
+        assert sorted(map(tuple, got)) == sequential(refs, entities) and len(jobs) == levels
+    assert merging.LEAF >= 100_000
+
+
 def test_audit_rows_lead_to_the_survivor(spark):
     entities, refs = made(3)
     r, e = tables(spark, entities, refs)
