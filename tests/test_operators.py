@@ -190,3 +190,13 @@ def test_largest_overlaps_of_one_hot_item_make_no_pairs_of_all(spark):
     df = spark.range(60_000).selectExpr("id AS k", "explode(sequence(1, 25)) AS item")
     got = graph.top_overlaps(df, "k", "item", 3).agg(F.count("*"), F.max(F.col("b") - F.col("a")), F.min("shared")).first()
     assert tuple(got) == (3 * 60_000 - 6, 3, 25)
+
+
+def test_trigram_pairs_of_common_names_are_dealt_in_chunks(spark):
+    """Two names shared by many keys and one near them: every pair once, whatever the chunks, and no task has all of a name's."""
+    names = [(i, ("hot bolts", "hot bolt", "cold gear")[min(i % 3, 2)]) for i in range(90)] + [(900, "hot bolt"), (None, "hot bolt")]
+    df = spark.createDataFrame(names, "id long, name string")
+    grams = {i: set(g) for i, g in df.where("id IS NOT NULL").select("id", text.trigrams(F.col("name"))).collect()}
+    want = sorted((a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.6)
+    for chunk in (4, graph.CHUNK):
+        assert sorted((r.a, r.b) for r in graph.trigram_pairs(df, "id", "name", 0.6, chunk).collect()) == want
